@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, token_counts
+from . import knn, media, mixing, packing, quality, token_counts, toxicity
 from .common import saved, table
+from .labelled import remainder
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEQUENCE = 4096
@@ -24,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenise(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), SEQUENCE, keep_ids=False)
     return packing.pack(saved(pieces), SEQUENCE).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -35,6 +40,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(saved(docs)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 3) == 1
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held)
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_texts(table(spark, sf_dir, "documents"))
     seen = media.inspect_media(stored, ["doc_id", "n_bytes"])
@@ -42,6 +59,22 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op4_mixing, op9_media_columns)
+    f.__name__: f for f in (
+        op1_token_counts, op2_exact_topk, op3_best_fit_packing, op4_mixing, op6_quality, op8_toxicity, op9_media_columns,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_topk": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+            FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+}
