@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, media, mixing, packing, quality, token_counts, toxicity
+from . import knn, line_dedup, media, mixing, packing, quality, token_counts, toxicity
 from .common import saved, table
 from .labelled import remainder
 
@@ -58,9 +58,14 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("carved").cast("long").alias("n_carved"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_exact_topk, op3_best_fit_packing, op4_mixing, op6_quality, op8_toxicity, op9_media_columns,
+        op10_line_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {
