@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, line_dedup, media, mixing, packing, quality, token_counts, toxicity
+from . import hmm, knn, line_dedup, media, mixing, packing, quality, token_counts, toxicity
 from .common import saved, table
 from .labelled import remainder
 
@@ -46,6 +46,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 10) == 0
+    texts = docs.where(~held).select(F.col("text").alias("t"), F.col("doc_id").alias("i"))
+    words = hmm.vocabulary(texts)
+    return hmm.score(docs, words, hmm.train(texts, words), held)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 5) == 0
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held)
@@ -64,8 +71,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_counts, op2_exact_topk, op3_best_fit_packing, op4_mixing, op6_quality, op8_toxicity, op9_media_columns,
-        op10_line_dedup,
+        op1_token_counts, op2_exact_topk, op3_best_fit_packing, op4_mixing, op6_quality,
+        op7_lm_scoring, op8_toxicity, op9_media_columns, op10_line_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {
