@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, knn, line_dedup, media, mixing, packing, quality, token_counts, toxicity
+from . import hmm, jaccard, knn, line_dedup, media, mixing, packing, quality, token_counts, toxicity
 from .common import saved, table
 from .labelled import remainder
 
@@ -40,6 +40,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(saved(docs)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), 4, 85, 100).select("doc_id", "n_shingles", "component_id", "links")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 3) == 1
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~held)
@@ -71,7 +75,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_counts, op2_exact_topk, op3_best_fit_packing, op4_mixing, op6_quality,
+        op1_token_counts, op2_exact_topk, op3_best_fit_packing, op4_mixing, op5_jaccard_join, op6_quality,
         op7_lm_scoring, op8_toxicity, op9_media_columns, op10_line_dedup,
     )
 }
