@@ -183,7 +183,7 @@ def same_origin(origin: Column | str, host: Column | str) -> Column:
 
 def ordered_set(items: Column | str) -> Column:
     """Trimmed entries without empty ones, each once, in order of first appearance."""
-    return F.array_distinct(F.filter(F.transform(_c(items), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(_c(items), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def data_route(kind: Column | str, wanted: Column | str) -> Column:

@@ -47,7 +47,7 @@ def script_counts(text: Column | str) -> dict[str, Column]:
 
 def main_script(text: Column | str) -> Column:
     """The script of most letters, the first of SCRIPTS between equals; null without letters."""
-    counts = list(script_counts(text).items())
+    counts = list(zip(SCRIPTS, script_counts(text).values(), strict=True))
     best = F.greatest(*[c for _, c in counts])
     return F.when(best > 0, F.coalesce(*[F.when(c == best, F.lit(s)) for s, c in counts]))
 
@@ -73,12 +73,12 @@ def guess_language(docs: DataFrame, text: str, words: dict[str, tuple[str, ...]]
 def index_codes(text: Column | str) -> Column:
     """Language codes that stand alone on lines of a printed index, in order, each once."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.array_distinct(F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x.rlike("^[A-Z]{2}(-[A-Z]{2})?$")))
+    return F.array_distinct(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x.rlike("^[A-Z]{2}(-[A-Z]{2})?$")))
 
 
 def index_entries(text: Column | str) -> Column:
     """(code, title, page) of index lines 'CODE title ... page'."""
     t = F.col(text) if isinstance(text, str) else text
     pattern = r"^([A-Z]{2}(?:-[A-Z]{2})?)\s+(.+?)[\s.]+(\d+)$"
-    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x.rlike(pattern))
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(pattern))
     return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("code"), F.regexp_extract(x, pattern, 2).alias("title"), F.regexp_extract(x, pattern, 3).cast("int").alias("page")))

@@ -182,9 +182,9 @@ def session_auth(spark, d):
     return found.select(F.col("session.id").alias("session_id"), "session.expires_at", F.col("user.id").alias("user_id"), "user.email", "user.role")
 
 
-@query(f"SELECT {_PAIR} FROM v_sessions s JOIN v_users u ON u.id = s.user_id WHERE {_LIVE} AND s.token_hash = sha256('5')")
+@query(f"SELECT {_PAIR} FROM v_sessions s JOIN v_users u ON u.id = s.user_id WHERE {_LIVE} AND s.token_hash = sha256('9500')")
 def session_by_token(spark, d):
-    found = accounts.authenticate(rel.sessions(spark, d), rel.users(spark, d), fn.token_hash(F.lit("5")), NOW_SESSIONS)
+    found = accounts.authenticate(rel.sessions(spark, d), rel.users(spark, d), fn.token_hash(F.lit("9500")), NOW_SESSIONS)
     return found.select(F.col("session.id").alias("session_id"), "session.expires_at", F.col("user.id").alias("user_id"), "user.email", "user.role")
 
 
