@@ -136,9 +136,76 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random value for each byte; A-Z have those of a-z.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_BYTE[65:91] = _BYTE[97:123]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i up to n; base is odd."""
+    if len(_POWERS.get(base, ((),))[0]) <= n:
+        m = max(1 << 20, 1 << n.bit_length())
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            x = np.full(m + 1, b, np.uint64)
+            x[0] = 1
+            both.append(np.cumprod(x))
+        _POWERS[base] = both[0], both[1]
+    return _POWERS[base]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, words of each text) of texts that lie end to end in data.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Prefix sums of a polynomial over all bytes
+    give each word's hash at once.
+    """
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    ink = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    first = ink.copy()
+    first[1:] &= ~ink[:-1] | edge[1:-1]
+    last = ink.copy()
+    last[:-1] &= ~ink[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(0x9E3779B97F4A7C15 | 1, len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), np.diff(np.searchsorted(starts, offsets))
+
+
+def runs_of(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k successive values, by prefix sums; len(h) - k + 1 of them."""
+    if len(h) < k:
+        return np.empty(0, np.uint64)
+    up, down = _powers(0xBF58476D1CE4E5B9, len(h))
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    n = len(h) - k + 1
+    return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
+
+
+def text_slices(column: pa.Array, most: int = 2 * SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, word hashes, words of each row) for runs of rows of about ``most`` bytes."""
+    column = column.fill_null("").cast(pa.large_binary())
+    if not len(column):
+        return
+    _, where, what = column.buffers()
+    offsets = np.frombuffer(where, np.int64, len(column) + 1, 8 * column.offset)
+    data = np.frombuffer(what, np.uint8) if what is not None and what.size else np.empty(0, np.uint8)
+    for a, b in slices(np.diff(offsets).tolist(), most):
+        yield a, b, *word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
 def bits_for(count: int, least: int = 16, most: int = 28) -> int:
-    """log2 of a bit set's size: 8 bits a key, between 8 KB and 32 MB whatever the data."""
-    return int(min(most, max(least, np.ceil(np.log2(8 * max(count, 1))))))
+    """log2 of a bit set's size: 32 bits a key, between 8 KB and 32 MB whatever the data."""
+    return int(min(most, max(least, np.ceil(np.log2(32 * max(count, 1))))))
 
 
 def bit_set(keys: DataFrame, column: str, log2: int) -> np.ndarray:

@@ -10,8 +10,8 @@ is deleted if a later repeat covers it; exactly that, whatever the partitioning.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Texts that equal an earlier one are found
 whole. What remains of a text keeps its own white space. Null texts stay null; texts under ``run`` words stay as they are; an empty table gives no
-rows. Rows with one id and one text are one text, and get one result; null ids come first in the
-order. Hashes of texts and runs have 64 bits.
+rows. Null ids come first in the order; rows with one id are one document in several versions,
+which don't delete from one another. Hashes of texts and runs have 64 bits.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, bit_set, bits_for, discard, hash64, in_bits, map_batches, run_hashes, saved, slices, texts_of, words_of
+from .common import bit_set, bits_for, discard, in_bits, map_batches, runs_of, saved, text_slices
 
 RUN, LINE = 50, 16
 #: Stands for a null id.
@@ -42,24 +42,34 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[:n], out[w - size : w - size + n]) if n > 0 else x[:0]
 
 
-def hashed(batch_texts: list[bytes], memo: Memo) -> list[np.ndarray]:
-    """Word hashes of each text."""
-    words = [words_of(t) for t in batch_texts]
-    flat = np.array(memo.many([w for own in words for w in own]), np.int64)
-    return np.split(flat, np.cumsum([len(w) for w in words])[:-1]) if words else []
+def selected(u: np.ndarray, m: np.ndarray, w: int) -> np.ndarray:
+    """Units that are the least of a window: those that equal the largest minimum of the windows that hold them."""
+    padded = np.zeros(len(m) + 2 * (w - 1), np.uint64)
+    padded[w - 1 : w - 1 + len(m)] = m
+    return np.flatnonzero(~window_min(~padded, w)[: len(u)] == u)
 
 
-def _scan(keyed: DataFrame, per_text, names: list[str]) -> DataFrame:
-    """Long columns that per_text(word hashes, id, text hash) makes of the rows (text, id, text hash)."""
+def windows(h: np.ndarray, counts: np.ndarray, run: int, line: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(units, window minima, whether a window lies in one text, text of each word) of texts end to end.
+
+    Minima of windows across texts are 0.
+    """
+    u = runs_of(h, line)
+    m = window_min(u, run - line + 1)
+    text = np.repeat(np.arange(len(counts)), counts)
+    inside = text[: len(m)] == text[run - 1 : run - 1 + len(m)]
+    return u, np.where(inside, m, np.uint64(0)), inside, text
+
+
+def _scan(keyed: DataFrame, per_slice, names: list[str]) -> DataFrame:
+    """Long columns that per_slice(word hashes, words of each text, ids, text hashes) makes of the rows (text, id, text hash)."""
 
     def f(batches):
-        memo = Memo(hash64)
         for batch in batches:
-            texts, ids, own = texts_of(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in slices([len(t) for t in texts]):
-                parts = [per_text(h, ids[i], own[i]) for i, h in enumerate(hashed(texts[a:b], memo), a) if len(h)]
-                columns = [np.concatenate(c) for c in zip(*(p for p in parts if p is not None), strict=True)] or [np.empty(0, np.int64)] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
+            ids, own = (batch.column(i).to_numpy() for i in (1, 2))
+            for a, b, h, counts in text_slices(batch.column(0)):
+                columns = per_slice(h, counts, ids[a:b], own[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in columns], names=names)
 
     return map_batches(keyed, f, ", ".join(f"{n} long" for n in names))
 
@@ -73,35 +83,37 @@ def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     again = bit_set(copied, "k", bits_for(copied.count()))
     whole = keyed.select("i", "s").join(copied, F.col("s") == F.col("k")).where("i > first").select("i", "s", F.lit(-1).cast("long").alias("p"))
 
-    # Fingerprints with the text's hash if the text has copies (which count once), else 0, and how often the text has them: 1, or 2 and more.
-    def prints(h, i, s):
-        if len(h) < run:
-            return None
-        u = run_hashes(h, line).view(np.int64)
-        values = np.unique(window_min(u, units))
-        u.sort()
-        twice = np.isin(values, u[1:][u[1:] == u[:-1]])
-        copy = in_bits(again, np.array([s]))[0]
-        return values, np.full(len(values), s if copy else 0), 1 + twice
-
-    found = _scan(keyed, prints, ["f", "s", "n"])
+    # Fingerprints, with the text's hash if the text has copies (which count once), else 0.
+    def prints(h, counts, i, s):
+        u, m, _, text = windows(h, counts, run, line)
+        at = selected(u, m, units)
+        copies = np.where(in_bits(again, s), s, 0)
+        return u[at].view(np.int64), copies[text[at]]
+
+    found = _scan(keyed, prints, ["f", "s"])
     of_copies = F.when(F.col("s") != 0, F.col("s"))
-    found = found.groupBy("f").agg(F.sum((F.col("s") == 0).cast("int")).alias("texts"), F.min(of_copies).alias("a"), F.max(of_copies).alias("b"), F.max("n").alias("n"))
-    common = saved(found.where("n > 1 or texts > 1 or a <> b or texts = 1 and a is not null").select("f"))
+    found = found.groupBy("f").agg(F.sum((F.col("s") == 0).cast("int")).alias("n"), F.min(of_copies).alias("a"), F.max(of_copies).alias("b"))
+    common = saved(found.where("n > 1 or a is not null").select("f"))
     bits = bit_set(common, "f", bits_for(common.count()))
     discard(common)
 
-    def runs(h, i, s):
-        if len(h) < run:
-            return None
-        at = np.flatnonzero(in_bits(bits, window_min(run_hashes(h, line).view(np.int64), units)))
-        return run_hashes(h, run)[at].view(np.int64), np.full(len(at), i), np.full(len(at), s), at
+    # Runs around repeated fingerprints. Repeats within a text are known at once: they get r = 0.
+    def runs(h, counts, i, s):
+        _, m, inside, text = windows(h, counts, run, line)
+        at = np.flatnonzero(inside)
+        at = at[in_bits(bits, m[at])]
+        r = np.maximum(runs_of(h, run)[at], np.uint64(1)).view(np.int64)
+        own = text[at]
+        order = np.lexsort((at, r, own))
+        again_ = np.zeros(len(at), bool)
+        again_[order[1:]] = (r[order[1:]] == r[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+        starts = np.cumsum(counts) - counts
+        return np.where(again_, 0, r), i[own], s[own], at - starts[own]
 
     rows = saved(_scan(keyed, runs, ["r", "i", "s", "p"]))
-    place = F.struct("i", "s", "p")
-    earliest = rows.groupBy("r").agg(F.min(place).alias("e"), F.max(place).alias("l")).where("e <> l").select(F.col("r").alias("q"), "e")
-    later = rows.join(earliest, F.col("r") == F.col("q")).where("i > e.i or i = e.i and (s, p) <> (e.s, e.p)").select("i", "s", "p")
-    return later.union(whole)
+    earliest = rows.where("r <> 0").groupBy("r").agg(F.min("i").alias("e"), F.max("i").alias("l")).where("e < l").select(F.col("r").alias("q"), "e")
+    later = rows.where("r <> 0").join(earliest, F.col("r") == F.col("q")).where("i > e").select("i", "s", "p")
+    return later.union(rows.where("r = 0").select("i", "s", "p")).union(whole)
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN, line: int = LINE, removed_column: str = "n_removed") -> DataFrame:
