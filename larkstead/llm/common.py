@@ -119,23 +119,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def multipliers(k: int) -> np.ndarray:
-    """k odd 64-bit multipliers, made by rule."""
-    return mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k successive word hashes; len(h) - k + 1 values."""
-    m, u = multipliers(k), h.view(np.uint64)
-    n = len(u) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out += u[j : j + n] * m[j]
-    return mix(out)
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A random value for each byte; A-Z have those of a-z.
@@ -147,7 +130,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n; base is odd."""
     if len(_POWERS.get(base, ((),))[0]) <= n:
-        m = max(1 << 20, 1 << n.bit_length())
+        m = max(1 << 20, n + n // 8)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             x = np.full(m + 1, b, np.uint64)
@@ -208,21 +191,37 @@ def bits_for(count: int, least: int = 16, most: int = 28) -> int:
     return int(min(most, max(least, np.ceil(np.log2(32 * max(count, 1))))))
 
 
+#: Words of 64 bits that travel to the driver as one value.
+PAGE = 1 << 13
+
+
 def bit_set(keys: DataFrame, column: str, log2: int) -> np.ndarray:
     """A bit for the low bits of each key: never misses a key, may take in others.
 
-    Built on the executors; the driver gets 2**log2 bits at most, so its size is bounded.
+    Built on the executors, in pages; the driver gets 2**log2 bits at most, so its size is bounded.
     """
     low = F.col(column).bitwiseAND((1 << log2) - 1)
-    rows = (
+    words = (
         keys.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("m"))
         .groupBy("w")
         .agg(F.bit_or("m").alias("m"))
-        .toPandas()
+        .withColumn("page", F.floor(F.col("w") / PAGE))
     )
-    out = np.zeros(1 << max(log2 - 6, 0), np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
-    return out.view(np.uint64)
+
+    def pages(batches):
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            w, m, page = (batch.column(i).to_numpy() for i in range(3))
+            for p in np.unique(page).tolist():
+                own = page == p
+                made.setdefault(p, np.zeros(PAGE, np.int64))[w[own] % PAGE] = m[own]
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([x.tobytes() for x in made.values()], pa.binary())], names=["page", "bits"])
+
+    out = np.zeros(1 << max(log2 - 6, 13), np.int64)
+    parts = min(64, max(1, len(out) // PAGE))
+    for page, bits in map_batches(words.repartition(parts, "page"), pages, "page long, bits binary").collect():
+        out[page * PAGE : (page + 1) * PAGE] = np.frombuffer(bits, np.int64)
+    return out[: 1 << max(log2 - 6, 0)].view(np.uint64)
 
 
 def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
