@@ -83,17 +83,23 @@ def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     again = bit_set(copied, "k", bits_for(copied.count()))
     whole = keyed.select("i", "s").join(copied, F.col("s") == F.col("k")).where("i > first").select("i", "s", F.lit(-1).cast("long").alias("p"))
 
-    # Fingerprints, with the text's hash if the text has copies (which count once), else 0.
+    # Fingerprints of each text, once each; with the text's hash if the text has copies (which count once), else 0, and 2 for those the text has twice.
     def prints(h, counts, i, s):
         u, m, _, text = windows(h, counts, run, line)
         at = selected(u, m, units)
-        copies = np.where(in_bits(again, s), s, 0)
-        return u[at].view(np.int64), copies[text[at]]
-
-    found = _scan(keyed, prints, ["f", "s"])
+        f, own = u[at].view(np.int64), text[at]
+        order = np.lexsort((f, own))
+        f, own = f[order], own[order]
+        new = np.ones(len(f), bool)
+        new[1:] = (f[1:] != f[:-1]) | (own[1:] != own[:-1])
+        first = np.flatnonzero(new)
+        times = np.minimum(np.diff(np.append(first, len(f))), 2)
+        return f[first], np.where(in_bits(again, s), s, 0)[own[first]], times
+
+    found = _scan(keyed, prints, ["f", "s", "n"])
     of_copies = F.when(F.col("s") != 0, F.col("s"))
-    found = found.groupBy("f").agg(F.sum((F.col("s") == 0).cast("int")).alias("n"), F.min(of_copies).alias("a"), F.max(of_copies).alias("b"))
-    common = saved(found.where("n > 1 or a is not null").select("f"))
+    found = found.groupBy("f").agg(F.sum((F.col("s") == 0).cast("int")).alias("texts"), F.min(of_copies).alias("a"), F.max(of_copies).alias("b"), F.max("n").alias("n"))
+    common = saved(found.where("n > 1 or texts > 1 or a <> b or texts = 1 and a is not null").select("f"))
     bits = bit_set(common, "f", bits_for(common.count()))
     discard(common)
 
