@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import Memo, discard, map_batches, saved, slices, texts_of, words_of
 
-#: Words whose counts are broadcast, words that are classes of their own, and shared classes.
+#: Words whose counts are broadcast (at most), words that are classes of their own, and shared classes.
 HEAD, OWN, SHARED = 1 << 16, 2048, 64
 END = OWN + SHARED
 CLASSES = END + 1
@@ -92,7 +92,16 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     counts = saved(count_words(texts))
     n, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     rows = texts.count()
-    head = {bytes(r["w"]): r["n"] for r in counts.orderBy(F.col("n").desc(), "w").limit(HEAD).collect()}
+    # The frequent words: those above a bound on counts, taken from a histogram, that at most HEAD words reach.
+    size = F.floor(F.log2("n") * 16)
+    least, held = None, 0
+    for r in sorted(counts.groupBy(size.alias("k")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > HEAD:
+            break
+        least = r["k"]
+    frequent = counts.where(size >= least).collect() if least is not None else []
+    head = {bytes(r["w"]): r["n"] for r in sorted(frequent, key=lambda r: (-r["n"], bytes(r["w"])))}
     own = set(list(head)[:OWN])
 
     def classed(batches):
@@ -180,7 +189,11 @@ def class_ids(texts: list[bytes], memo: Memo) -> list[np.ndarray]:
 def train(texts: DataFrame, words: Vocabulary, passes: int = PASSES) -> Hmm:
     """The model from training texts, columns t and i (the id)."""
     memo = words.memo()
-    seed = class_ids([(r["t"] or "").encode() for r in texts.orderBy(F.xxhash64(F.lit(23), "i"), "i").limit(SEED_ROWS).collect()], memo)
+    # Ids choose the sample, so that only its own texts travel.
+    place = F.xxhash64(F.lit(23), "i")
+    last = texts.select(place.alias("h")).orderBy("h").limit(SEED_ROWS).agg(F.max("h")).first()[0]
+    chosen = texts.where(place <= last).limit(2 * SEED_ROWS).collect() if last is not None else []
+    seed = class_ids([(r["t"] or "").encode() for r in sorted(chosen, key=lambda r: (str(r["i"]), r["t"] or ""))], memo)
     model = Hmm.random(np.bincount(np.concatenate(seed), minlength=CLASSES).astype(float) + 0.01 if seed else np.ones(CLASSES))
     for _ in range(SEED_PASSES if seed else 0):
         model = Hmm.from_counts(all_expected(model, seed))
