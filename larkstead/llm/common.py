@@ -130,7 +130,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n; base is odd."""
     if len(_POWERS.get(base, ((),))[0]) <= n:
-        m = max(1 << 20, n + n // 8)
+        m = max(1 << 18, n + n // 8)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             x = np.full(m + 1, b, np.uint64)
@@ -174,9 +174,9 @@ def runs_of(h: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
 
 
-def text_slices(column: pa.Array, most: int = 2 * SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, word hashes, words of each row) for runs of rows of about ``most`` bytes."""
-    column = column.fill_null("").cast(pa.large_binary())
+    column = (column.fill_null("") if column.null_count else column).cast(pa.large_binary())
     if not len(column):
         return
     _, where, what = column.buffers()
