@@ -131,6 +131,19 @@ def test_jaccard_on_frequent_shingles(documents):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == components_by_force(rows, 4, 85, 100)
 
 
+def test_jaccard_of_longer_copies_in_a_leading_text(documents):
+    """Copies with words appended or cut, all quoted in a longer text that has more copies and so leads."""
+    rng = random.Random(6)
+    rows = []
+    for f in range(80):
+        w, extra = ([f"{x}{f}_{i}" for i in range(n)] for x, n in (("q", 23), ("y", 14)))
+        longer = w + extra[:2] if f % 2 else extra[:2] + w
+        for t in (w, longer, *[w + extra[2 : 2 + rng.randint(4, 12)]] * 3):
+            rows.append((len(rows), " ".join(t)))
+    got = jaccard.join(documents(rows), 4, 85, 100).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == components_by_force(rows, 4, 85, 100)
+
+
 def test_jaccard_edges(documents):
     assert jaccard.join(documents([]), 4, 85, 100).count() == 0
     got = jaccard.join(documents([(1, None), (2, None)]), 4, 85, 100).collect()
