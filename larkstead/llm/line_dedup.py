@@ -8,9 +8,14 @@ runs of ``run`` words are compared, in both directions: those with an earlier eq
 (id, position), are later repeats, and together they make the longest repeated stretches. A word
 is deleted if a later repeat covers it; exactly that, whatever the partitioning.
 
+With ``least``, real lines are units as well: a line (between bytes 10 to 13) of ``least`` or more
+words is hashed by its words, and deleted where an equal line occurs earlier in the same order;
+and texts of any length that equal an earlier one go whole. Lines of fewer words go only with
+these or with a run. Without ``least`` there are runs alone.
+
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Texts that equal an earlier one are found
-whole. What remains of a text keeps its own white space. Null texts stay null; texts under ``run`` words stay as they are; an empty table gives no
-rows. Null ids come first in the order; rows with one id are one document in several versions,
+whole. What remains of a text keeps its own white space. Null texts stay null; without ``least``,
+texts under ``run`` words stay as they are; an empty table gives no rows. Null ids come first in the order; rows with one id are one document in several versions,
 which don't delete from one another. Hashes of texts and runs have 64 bits.
 """
 
@@ -24,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bit_set, bits_for, discard, in_bits, map_batches, runs_of, saved, text_slices
+from .common import _SPACE, _powers, bit_set, bits_for, discard, in_bits, map_batches, mix, runs_of, saved, text_slices
 
 RUN, LINE = 50, 16
+#: Words of the shortest real line that op10 deletes by itself.
+LEAST = 5
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -61,33 +68,66 @@ def windows(h: np.ndarray, counts: np.ndarray, run: int, line: int) -> tuple[np.
     return u, np.where(inside, m, np.uint64(0)), inside, text
 
 
+def line_firsts(column: pa.Array) -> np.ndarray:
+    """Whether each word of the texts, end to end, is the first of a line."""
+    column = (column.fill_null("") if column.null_count else column).cast(pa.large_binary())
+    _, where, what = column.buffers()
+    offsets = np.frombuffer(where, np.int64, len(column) + 1, 8 * column.offset)
+    data = np.frombuffer(what, np.uint8)[offsets[0] : offsets[-1]] if what is not None and what.size else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return np.empty(0, bool)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    ink = ~_SPACE[data]
+    first = ink.copy()
+    first[1:] &= ~ink[:-1] | edge[1:-1]
+    breaks = np.cumsum(((data >= 10) & (data <= 13)) | edge[:-1])[first]
+    return np.concatenate([[True], breaks[1:] != breaks[:-1]]) if len(breaks) else np.empty(0, bool)
+
+
+def lines_of(h: np.ndarray, firsts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first words, words) of the lines of ``least`` or more words."""
+    starts = np.flatnonzero(firsts)
+    n = np.diff(np.append(starts, len(h)))
+    starts, n = starts[n >= least], n[n >= least]
+    up, down = _powers(0xBF58476D1CE4E5B9, len(h))
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    # Another constant than that of runs: a line is equal to lines only.
+    return mix((sums[starts + n] - sums[starts]) * down[starts] + n.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), starts, n
+
+
 def _scan(keyed: DataFrame, per_slice, names: list[str]) -> DataFrame:
-    """Long columns that per_slice(word hashes, words of each text, ids, text hashes) makes of the rows (text, id, text hash)."""
+    """Long columns that per_slice(word hashes, words of each text, ids, text hashes, texts) makes of the rows (text, id, text hash)."""
 
     def f(batches):
         for batch in batches:
             ids, own = (batch.column(i).to_numpy() for i in (1, 2))
             for a, b, h, counts in text_slices(batch.column(0)):
-                columns = per_slice(h, counts, ids[a:b], own[a:b])
+                columns = per_slice(h, counts, ids[a:b], own[a:b], batch.column(0).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in columns], names=names)
 
     return map_batches(keyed, f, ", ".join(f"{n} long" for n in names))
 
 
-def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN, line: int = LINE) -> DataFrame:
-    """(i, s, p): id, text hash, and first word of each later repeat; p is -1 if the whole text is one."""
+def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN, line: int = LINE, least: int | None = None) -> DataFrame:
+    """(i, s, p, n): id, text hash, first word and words of each later repeat; p is -1 if the whole text is one."""
     units = run - line + 1
     keyed = docs.select(F.col(text_column).alias("t"), F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64(text_column).alias("s"))
     first = keyed.groupBy("s").agg(F.min("i").alias("first"), F.max("i").alias("last")).where("first < last").select(F.col("s").alias("k"), "first")
     copied = saved(first)
     again = bit_set(copied, "k", bits_for(copied.count()))
-    whole = keyed.select("i", "s").join(copied, F.col("s") == F.col("k")).where("i > first").select("i", "s", F.lit(-1).cast("long").alias("p"))
+    whole = keyed.select("i", "s").join(copied, F.col("s") == F.col("k")).where("i > first").select("i", "s", F.lit(-1).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
 
     # Fingerprints of each text, once each; with the text's hash if the text has copies (which count once), else 0, and 2 for those the text has twice.
-    def prints(h, counts, i, s):
+    def prints(h, counts, i, s, texts):
         u, m, _, text = windows(h, counts, run, line)
         at = selected(u, m, units)
         f, own = u[at].view(np.int64), text[at]
+        if least:
+            r, at, _ = lines_of(h, line_firsts(texts), least)
+            f, own = np.concatenate([f, r.view(np.int64)]), np.concatenate([own, text[at]])
         order = np.lexsort((f, own))
         f, own = f[order], own[order]
         new = np.ones(len(f), bool)
@@ -104,30 +144,35 @@ def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     discard(common)
 
     # Runs around repeated fingerprints. Repeats within a text are known at once: they get r = 0.
-    def runs(h, counts, i, s):
+    def runs(h, counts, i, s, texts):
         _, m, inside, text = windows(h, counts, run, line)
         at = np.flatnonzero(inside)
         at = at[in_bits(bits, m[at])]
-        r = np.maximum(runs_of(h, run)[at], np.uint64(1)).view(np.int64)
+        r, n = runs_of(h, run)[at], np.full(len(at), run)
+        if least:
+            of_lines, starts, words = lines_of(h, line_firsts(texts), least)
+            known = in_bits(bits, of_lines)
+            r, at, n = (np.concatenate(x) for x in ((r, of_lines[known]), (at, starts[known]), (n, words[known])))
+        r = np.maximum(r, np.uint64(1)).view(np.int64)
         own = text[at]
         order = np.lexsort((at, r, own))
         again_ = np.zeros(len(at), bool)
         again_[order[1:]] = (r[order[1:]] == r[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
         starts = np.cumsum(counts) - counts
-        return np.where(again_, 0, r), i[own], s[own], at - starts[own]
+        return np.where(again_, 0, r), i[own], s[own], at - starts[own], n
 
-    rows = saved(_scan(keyed, runs, ["r", "i", "s", "p"]))
+    rows = saved(_scan(keyed, runs, ["r", "i", "s", "p", "n"]))
     earliest = rows.where("r <> 0").groupBy("r").agg(F.min("i").alias("e"), F.max("i").alias("l")).where("e < l").select(F.col("r").alias("q"), "e")
-    later = rows.where("r <> 0").join(earliest, F.col("r") == F.col("q")).where("i > e").select("i", "s", "p")
-    return later.union(rows.where("r = 0").select("i", "s", "p")).union(whole)
+    later = rows.where("r <> 0").join(earliest, F.col("r") == F.col("q")).where("i > e").select("i", "s", "p", "n")
+    return later.union(rows.where("r = 0").select("i", "s", "p", "n")).union(whole)
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN, line: int = LINE, removed_column: str = "n_removed") -> DataFrame:
+def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN, line: int = LINE, removed_column: str = "n_removed", least: int | None = None) -> DataFrame:
     """docs, all columns in place, with later repeats cut out of the text and the number of words removed.
 
     Columns named _larkstead_i, _larkstead_s or _larkstead_p must not be there.
     """
-    found = saved(marks(docs, id_column, text_column, run, line).groupBy("i", "s").agg(F.array_sort(F.collect_set("p")).alias("_larkstead_p")))
+    found = saved(marks(docs, id_column, text_column, run, line, least).groupBy("i", "s").agg(F.array_sort(F.collect_set(F.expr("p * 4294967296 + n"))).alias("_larkstead_p")))
     keys = saved(found.select(F.xxhash64("i", "s").alias("k")))
     bits = bit_set(keys, "k", bits_for(keys.count()))
     discard(keys)
@@ -150,7 +195,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         for batch in batches:
             texts, removed = [], []
             for text, starts in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                text, n = cut(text, starts, run) if text and starts else (text, 0)
+                text, n = cut(text, starts, 1 if least else run) if text and starts else (text, 0)
                 texts.append(text)
                 removed.append(n)
             columns = [*batch.columns[:at], pa.array(texts, pa.binary()).cast(pa.string()), *batch.columns[at + 1 : len(names)], pa.array(removed, pa.int64())]
@@ -163,16 +208,20 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return clean.union(map_batches(joined, remove, schema))
 
 
-def cut(text: bytes, starts: list[int], run: int) -> tuple[bytes, int]:
-    """text without the words of the runs that begin at ``starts`` (sorted), nor the white space before each stretch; words removed."""
+def cut(text: bytes, marks: list[int], shortest: int) -> tuple[bytes, int]:
+    """text without the repeats ``marks`` (2**32 * first word + words, sorted; negative for all), nor the white space before each stretch; words removed.
+
+    Texts under ``shortest`` words stay.
+    """
     spans = [m.span() for m in _WORD.finditer(text)]
-    if len(spans) < run:
+    if len(spans) < shortest:
         return text, 0
-    if starts[0] < 0:
+    if marks[0] < 0:
         return b"", len(spans)
+    starts, n = np.divmod(np.array(marks), 1 << 32)
     gone = np.zeros(len(spans) + 1, np.int64)
     np.add.at(gone, starts, 1)
-    np.add.at(gone, np.array(starts) + run, -1)
+    np.add.at(gone, starts + n, -1)
     gone = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(gone) > 0, [0]])))
     out, at, removed = [], 0, 0
     for a, b in gone.reshape(-1, 2).tolist():

@@ -70,7 +70,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_removed")
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=line_dedup.LEAST).select("doc_id", "text", "n_removed")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

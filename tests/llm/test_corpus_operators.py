@@ -191,6 +191,30 @@ def test_line_dedup_matches_brute_force(documents, odd_rows, run, line):
     assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars", "score", "length", "n_removed"}
 
 
+def test_line_dedup_deletes_real_lines_and_short_copies(spark, tmp_path):
+    """Against brute force over lines; no run of 50 words is in it."""
+    rng = random.Random(8)
+    pool = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (3, 4, 5, 6, 9, 12, 30) for _ in range(3)]
+    rows = [(i, "\n".join((t.upper() if rng.random() < 0.3 else t.replace(" ", "  ")) for t in (rng.choice([*pool, f"own line {i} {j} of text", f"few {i}"]) for j in range(rng.randint(1, 4))))) for i in range(60)]
+    rows += [(100, "two words"), (101, "two words"), (102, " \n "), (103, " \n "), (104, None), (105, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (WORD.findall(r["text"] or ""), r["n_removed"]) for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    seen, texts, runs, force = set(), set(), Counter(), {}
+    for i, t in rows:
+        kept = []
+        for x in (t or "").split("\n"):
+            k = tuple(words(x))
+            if len(k) < 5 or k not in seen:
+                kept += WORD.findall(x)
+            seen.add(k)
+        force[i] = ([] if t in texts else kept, len(words(t)) - (0 if t in texts else len(kept)))
+        texts.add(t)
+        w = words(t)
+        runs.update({tuple(w[p : p + 50]) for p in range(len(w) - 49)})
+    assert max(runs.values(), default=0) <= 1 and force[101] == ([], 2)
+    assert got == force
+
+
 def test_line_dedup_leaves_clean_texts_alone(documents, odd_rows):
     got = line_dedup.dedup(documents([r for r in odd_rows if r[0] != 6])).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([r for r in odd_rows if r[0] != 6], key=str)
