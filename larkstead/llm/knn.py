@@ -3,7 +3,7 @@
 Vectors become whole numbers, floor(1024 * x) of each component; the score is their inner
 product. With one more coordinate, sqrt(M^2 - |v|^2) for data and 0 for queries (M the longest
 norm), the highest inner products are the nearest points. Pivots, a bounded sample, cut space into
-cells. Per cell, a summary holds the distances of its k + 1 points nearest to the pivot; from the
+cells. Per cell, a summary holds the distances of its k + 1 ids nearest to the pivot; from the
 summaries follows, for each cell of queries, a distance within which all its queries have their
 k neighbours. A row goes to a block of queries only if the triangle inequality allows it that
 near; each (block, chunk of a cell) is then solved on its own, and the best k are merged.
@@ -101,21 +101,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
     data = saved(map_batches(rows.select("id", "v"), assign(False), schema))
     queries = saved(map_batches(rows.where(is_query).select("id", "v"), assign(True), schema))
 
-    # Summaries: at most pivots * (k + 1) rows.
-    by_cell = W.Window.partitionBy("cell").orderBy("dist")
-    near = data.select("cell", "dist").withColumn("r", F.row_number().over(by_cell)).where(F.col("r") <= k + 1).collect()
+    # Summaries: at most pivots * (k + 1) rows, one an id in each cell.
+    by_cell = W.Window.partitionBy("cell").orderBy("dist", "id")
+    near = data.groupBy("cell", "id").agg(F.min("dist").alias("dist")).withColumn("r", F.row_number().over(by_cell)).where(F.col("r") <= k + 1).collect()
     cells = data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")).collect()
     sizes = {r["cell"]: r["n"] for r in cells}
     spans = {r["cell"]: (r["near"], r["far"]) for r in cells}
     groups = {r["cell"]: (r["far"], r["n"]) for r in queries.groupBy("cell").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
     between = distances(points, points)
-    near_cell, near_dist = (np.array([r[c] for r in near]) for c in ("cell", "dist"))
+    near_cell, near_dist, near_id = (np.array([r[c] for r in near]) for c in ("cell", "dist", "id"))
     chunks = {c: -(-n // chunk) for c, n in sizes.items()}
 
     # Blocks of query cells; a large cell has several blocks. reach[cell]: how far its queries must look.
     reach, blocks, last, held = {}, {}, 0, 0
     for c, (far, n) in sorted(groups.items()):
-        bound = np.sort(between[c][near_cell] + near_dist) + far if len(near) else np.empty(0)
+        bound = between[c][near_cell] + near_dist + far if len(near) else np.empty(0)
+        # One distance an id: of k + 1 ids, k are candidates.
+        order = np.argsort(bound)
+        bound = bound[np.sort(order[np.unique(near_id[order], return_index=True)[1]])] if len(near) else bound
+        bound.sort()
         reach[c] = (far, bound[k] + slack if len(bound) > k else np.inf)
         if held and held + n > block:
             last, held = last + 1, 0
@@ -164,6 +168,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
     def solve(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         q, v = matrix(mine["v"].to_pylist(), width), matrix(theirs["v"].to_pylist(), width)
         qid, vid = mine["id"].to_numpy(), theirs["id"].to_numpy()
+        repeated = len(np.unique(vid)) < len(vid)
         exact = long2 < 2**53  # no partial sum exceeds M^2
         kind = np.float64 if exact else np.int64
         q, v = q.astype(kind), v.astype(kind).T
@@ -171,6 +176,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
         for at in range(0, len(q) if len(vid) else 0, STRIP):
             for own, scores in zip(qid[at : at + STRIP], q[at : at + STRIP] @ v, strict=True):
                 other = vid != own
+                if repeated:  # candidates with one id and one score count once
+                    order = np.lexsort((vid, -scores))
+                    same = (vid[order[1:]] == vid[order[:-1]]) & (scores[order[1:]] == scores[order[:-1]])
+                    other[order[1:][same]] = False
                 best = top(scores[other], vid[other], k)
                 out.append((np.full(len(best), own), vid[other][best], scores[other][best].astype(np.int64)))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3

@@ -349,6 +349,18 @@ def test_knn_edges(spark):
     assert [tuple(r) for r in knn.search(two, F.col("id") % 100 == 0, 10).collect()] == [(100, 1, 5, -1024 * 1024)]
 
 
+@pytest.mark.parametrize("pivots", [64, 7])
+def test_knn_counts_repeated_rows_once(spark, pivots):
+    rng = np.random.default_rng(4)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(400)]
+    for q in (0, 100, 200, 300):
+        vectors += [(q, vectors[q][1])] * 15 + [(q + 1, [float(np.float32(x) * 2) for x in vectors[q][1]])] * 20
+        vectors[q + 1] = vectors[-1]
+    floats = [(i, [float(np.float32(x)) for x in v]) for i, v in vectors]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(map(tuple, knn.search(df, F.col("id") % 100 == 0, 10, pivots=pivots).collect())) == knn_by_force(floats, 10)
+
+
 # Pipeline
 
 def test_pipeline_stages(spark):
