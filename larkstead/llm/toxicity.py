@@ -170,8 +170,17 @@ class Model:
         shares = [x for x in memo.many(sorted(own)) if x] if own else []
         return (1 + sum(max(shares) >= x for x in SHARE_STEPS)) * 10 + min(len(shares), MOST_WORDS) if shares else 0
 
+    def rate(self, evidence: int) -> float:
+        """Rate of a cell; of one that no labelled text had, that of the nearest seen one with fewer words or, then, a lower share, or else the least share of its step."""
+        step, words = divmod(evidence, 10)
+        for s in range(step, 0, -1):
+            for n in range(words, 0, -1):
+                if 10 * s + n in self.rates:
+                    return self.rates[10 * s + n]
+        return (LEAST_SHARE, *SHARE_STEPS)[step - 1] if step else self.rates.get(0, 0.0)
+
     def scores(self, texts: list[bytes], memo: Memo) -> list[float]:
-        return [self.rates.get(self.evidence(text, memo), 0.0) for text in texts]
+        return [self.rate(self.evidence(text, memo)) for text in texts]
 
 
 def _labelled(docs: DataFrame, label: dict, id_column: str, text_column: str, make, schema: str) -> DataFrame:

@@ -314,6 +314,12 @@ def test_obfuscated_words_are_restored(spark, documents):
     assert b"idiot" in toxicity.all_words(b"you i d i o t there")
 
 
+def test_unseen_evidence_backs_off():
+    model = toxicity.Model(np.zeros((toxicity.SIZE,) * 3), {"idiot": (0.97, 9.0), "moron": (0.97, 9.0), "scum": (0.97, 9.0)}, {0: 0.1, 61: 0.9, 42: 0.7})
+    assert model.scores([b"idiot moron scum", b"idiot", b"nothing"], model.memo()) == [0.9, 0.9, 0.1]
+    assert [model.rate(x) for x in (62, 53, 43, 52, 51, 11, 23)] == [0.9, 0.7, 0.7, 0.7, 0.9, 0.5, 0.6]
+
+
 # Search
 
 def knn_by_force(vectors, k):
