@@ -17,10 +17,14 @@ from pyspark.sql import window as W
 
 #: Bytes A-Z to a-z; nothing else changes.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Bytes of text that a Python worker holds as word lists at once.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that a Python worker holds as word lists, and as arrays of hashes, at once.
+SLICE_BYTES, HASH_BYTES = 1 << 20, 1 << 18
 #: Entries of a worker's word cache before it starts anew (results don't depend on it).
 CACHE_WORDS = 300_000
+#: Words of more bytes are computed anew each time rather than remembered.
+LONG_KEY = 256
+#: Bytes of an Arrow batch that a Python worker gets at once.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _OWN_DIR: list[str] = []
 
 
@@ -29,9 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``, else that of ``setCheckpointDir``; one of our own only in local mode (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        shared = set_dir.get() if set_dir.isDefined() else None
+    if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="larkstead-"))
         shared = _OWN_DIR[0]
@@ -58,9 +67,30 @@ def discard(*frames: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_BYTES; the session's own bound holds if it is lower."""
+    conf = df.sparkSession.conf
+    bound = conf.get(BATCH_CONF).rstrip("b")
+    if bound.isdigit() and int(bound) > BATCH_BYTES:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores in front as it takes to differ from all columns, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, name: str) -> DataFrame:
+    """df without columns of that name, whatever the case: a column that is added takes their place."""
+    return df.select(*[c for c in df.columns if c.lower() != name.lower()])
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -92,9 +122,10 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self.f(key)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[key] = value
+        if len(key) <= LONG_KEY:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[key] = value
         return value
 
     def many(self, keys: list) -> tuple:
@@ -124,13 +155,15 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A random value for each byte; A-Z have those of a-z.
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _BYTE[65:91] = _BYTE[97:123]
+#: Terms that polynomial hashes sum at most.
+POLYNOMIAL = 256
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n; base is odd."""
     if len(_POWERS.get(base, ((),))[0]) <= n:
-        m = max(1 << 18, n + n // 8)
+        m = max(1 << 16, n + n // 8)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             x = np.full(m + 1, b, np.uint64)
@@ -144,7 +177,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """(64-bit hashes of all words, words of each text) of texts that lie end to end in data.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Prefix sums of a polynomial over all bytes
-    give each word's hash at once.
+    give each word's hash at once. Modulo 2**64 such polynomials collide by structure from 1024
+    terms on (the Thue-Morse sequence), so words of more than POLYNOMIAL bytes are hashed by xxh3.
     """
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
@@ -160,13 +194,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), np.diff(np.searchsorted(starts, offsets))
+    h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    for i in np.flatnonzero(ends - starts > POLYNOMIAL).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes().translate(LOWER))
+    return h, np.diff(np.searchsorted(starts, offsets))
 
 
 def runs_of(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k successive values, by prefix sums; len(h) - k + 1 of them."""
+    """Hash of each run of k successive values, by prefix sums; len(h) - k + 1 of them. k is at most POLYNOMIAL."""
     if len(h) < k:
         return np.empty(0, np.uint64)
+    if k > POLYNOMIAL:
+        raise ValueError(f"runs of more than {POLYNOMIAL} words")
     up, down = _powers(0xBF58476D1CE4E5B9, len(h))
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[: len(h)], out=sums[1:])
@@ -174,7 +213,7 @@ def runs_of(h: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
 
 
-def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = HASH_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, word hashes, words of each row) for runs of rows of about ``most`` bytes."""
     column = (column.fill_null("") if column.null_count else column).cast(pa.large_binary())
     if not len(column):
@@ -245,16 +284,17 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: str, ties: list[str],
     """
     n = 4 * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shift = 64 - int(np.ceil(np.log2(n)))
-    df = df.withColumn("_bucket", F.shiftright(F.coalesce(order, F.lit(0)), shift))
-    within = W.Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
-    sizes = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
-    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    same = F.col("_bucket") == F.col("_b")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    placed = df.withColumn("_within", F.row_number().over(within) - 1)
-    return placed.join(sizes, same).withColumn(out, F.col("_within") + F.col("_before")).drop("_bucket", "_within", "_before", "_b", *[f"_k{i}" for i in range(len(keys))])
+    names = df.columns
+    bucket, within, other, before, size, *same_keys = fresh([*names, out], "_bucket", "_within", "_other", "_before", "_size", *[f"_key{i}" for i in range(len(keys))])
+    df = df.withColumn(bucket, F.shiftright(F.coalesce(order, F.lit(0)), shift))
+    sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias(size))
+    earlier = W.Window.partitionBy(*keys).orderBy(bucket).rowsBetween(W.Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(k).alias(s) for k, s in zip(keys, same_keys, strict=True)], F.col(bucket).alias(other), F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(before))
+    same = F.col(bucket) == F.col(other)
+    for k, s in zip(keys, same_keys, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(s))
+    placed = df.withColumn(within, F.row_number().over(W.Window.partitionBy(*keys, bucket).orderBy(order, *ties)) - 1)
+    return placed.join(sizes, same).select(*names, (F.col(within) + F.col(before)).alias(out))
 
 
 def components(edges: DataFrame) -> DataFrame:
