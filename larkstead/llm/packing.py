@@ -18,30 +18,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, map_batches, rank_in_groups, slices, texts_of
+from .common import fresh, map_batches, rank_in_groups, slices, texts_of
 
 END_ID = 1
 
 
-#: The tokenizer's own pre-token pattern, for words of Latin-1 letters.
-PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-SIMPLE = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+")
-#: Pre-tokens a worker remembers before it starts anew (results don't depend on it).
-CACHE_CORES = 700_000
+# The tokenizer's own pre-token pattern (letters, single digits, anything else), for lower-cased texts of Latin-1 characters.
+LETTER, DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\x20\x09-\x0d{LETTER}{DIGIT}]+")
+#: Texts that this pattern cuts as the tokenizer does; special tokens begin with SPECIAL.
+SIMPLE, SPECIAL = re.compile("[\x20\x09-\x0d\x21-\x7e\xa1-\xac\xae-\xff]*"), "<|"
+#: Pre-tokens and words that a worker remembers before it starts anew (results don't depend on it), and characters of those that it doesn't.
+CACHE_CORES, LONG_CORE = 600_000, 200
 
 
 class WordIds:
-    """Ids of white-space free words as little-endian bytes.
+    """Ids of texts as little-endian bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.
-    Words are remembered, and so are the pre-tokens of new words; only new pre-tokens are encoded,
-    many at once, and told apart by the tokens that end a word. Words beyond Latin-1 or with a
-    special token's mark go to the tokenizer whole.
+    The tokenizer drops white space and never joins across pre-tokens, so a text's ids are those of
+    its pre-tokens in order. These are remembered; new ones are encoded many at once, and told apart
+    by the tokens that end one. Texts with other characters than Latin-1 ones, or with a special
+    token's mark, are cut at white space, and their words encoded whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -51,50 +52,46 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.cores) > CACHE_CORES:
-            self.cores.clear()
-        parts = {}
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if SIMPLE.fullmatch(text) and "<|" not in text:
-                parts[word] = PRE_TOKENS.findall(text.lower())
+    def learn(self, parts: set[str]) -> None:
+        simple = [x for x in parts if SIMPLE.fullmatch(x) and SPECIAL not in x]
+        for x in parts.difference(simple):
+            self.known[x] = self.encode(x)
+        for at in range(0, len(simple), 4000):
+            some = simple[at : at + 4000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                raw, start = ids.tobytes(), 0
+                for x, stop in zip(some, (4 * stops).tolist(), strict=True):
+                    self.known[x] = raw[start:stop]
+                    start = stop
             else:
-                self.words[word] = self.encode(text)
-        new = list({core for own in parts.values() for core in own if core not in self.cores})
-        for at in range(0, len(new), 2000):
-            self._learn_cores(new[at : at + 2000])
-        for word, own in parts.items():
-            self.words[word] = b"".join([self.cores[core] for core in own])
-
-    def _learn_cores(self, cores: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(cores), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(cores) and (not len(ids) or stops[-1] == len(ids)):
-            raw, at = ids.tobytes(), 0
-            for core, stop in zip(cores, (4 * stops).tolist(), strict=True):
-                self.cores[core] = raw[at:stop]
-                at = stop
-        else:
-            for core in cores:
-                self.cores[core] = self.encode(core)
+                for x in some:
+                    self.known[x] = self.encode(x)
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        if new := set().union(*split).difference(self.words):
+        split = []
+        for raw in texts:
+            text = raw.decode("utf-8", "replace")
+            if SIMPLE.fullmatch(text) and SPECIAL not in text:
+                split.append(PRE_TOKENS.findall(text.lower()))
+            else:
+                split.append([w.decode("utf-8", "replace") for w in raw.split()])
+        if len(self.known) > CACHE_CORES:
+            self.known.clear()
+        if new := set().union(*split).difference(self.known):
             self.learn(new)
-            if missing := set().union(*split).difference(self.words):
-                self.learn(missing)
-        get = self.words.__getitem__
-        return [b"".join(map(get, own)) for own in split]
+        get = self.known.__getitem__
+        out = [b"".join(map(get, own)) for own in split]
+        for x in new:
+            if len(x) > LONG_CORE:
+                del self.known[x]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -133,53 +130,65 @@ def tokenise(docs: DataFrame, tokenizer_file: str, capacity: int, id_column: str
 
 
 class Lengths:
-    """Counts by length with hashed complements.
+    """Counts by length, with an index of single lengths and one of pair sums.
 
-    ``mask`` has a bit for each length in stock and ``mirror`` the same bits reversed, so the
-    lengths whose complement to a sum is in stock are one AND of the two.
+    Both are bit masks over sums: ``ones`` (a length in stock) and ``twos`` (``pairs`` has the lengths
+    that make such a sum). They are also kept mirrored, so that the lengths whose complement is in an
+    index are one AND: complements of singles make pairs, complements of pairs triples. Stock only
+    shrinks, so pair sums that it no longer allows are dropped when they are looked up.
     """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity, self.stock = capacity, dict(counts)
-        self.mask = sum(1 << n for n, c in counts.items() if c)
-        self.mirror = sum(1 << (capacity - n) for n, c in counts.items() if c)
+        self.ones = sum(1 << n for n, c in counts.items() if c)
+        self.ones_mirrored = sum(1 << (capacity - n) for n, c in counts.items() if c)
+        self.pairs = [self._live(s) for s in range(capacity + 1)]
+        self.twos_mirrored = sum(1 << (capacity - s) for s, x in enumerate(self.pairs) if x)
+
+    def _live(self, total: int) -> int:
+        """Lengths in stock whose complement to total is in stock as well."""
+        hits = self.ones & (self.ones_mirrored >> (self.capacity - total)) & ((1 << total) - 1) & ~1
+        return hits & ~(1 << (total // 2)) if not total % 2 and self.stock.get(total // 2, 0) == 1 else hits
 
     def take(self, length: int, count: int = 1) -> None:
         self.stock[length] -= count
-        bit = 1 << length
-        if (self.stock[length] > 0) != bool(self.mask & bit):
-            self.mask ^= bit
-            self.mirror ^= 1 << (self.capacity - length)
+        if not self.stock[length]:
+            self.ones &= ~(1 << length)
+            self.ones_mirrored &= ~(1 << (self.capacity - length))
 
     def largest(self, most: int) -> int:
         """The longest length in stock up to ``most``; 0 for none: what fits a gap best."""
-        return max(0, (self.mask & ((2 << max(most, 0)) - 1)).bit_length() - 1)
+        return max(0, (self.ones & ((2 << max(most, 0)) - 1)).bit_length() - 1)
 
-    def pair(self, total: int) -> list[int]:
-        hits = self.mask & (self.mirror >> (self.capacity - total)) & ((1 << total) - 1) & ~1
-        if not hits:
+    def pair(self, total: int, beside: int = 0) -> list[int]:
+        """Two lengths in stock that sum to total, one of ``beside`` being taken already; the longest first."""
+        if not self.pairs[total]:
             return []
-        if not total % 2 and self.stock.get(total // 2, 0) == 1:
-            hits &= ~(1 << (total // 2))
-            if not hits:
-                return []
-        longer = hits.bit_length() - 1
-        return [longer, total - longer]
+        hits = self.pairs[total] = self._live(total)
+        if not hits:
+            self.twos_mirrored &= ~(1 << (self.capacity - total))
+        while hits:
+            a = hits.bit_length() - 1
+            hits ^= 1 << a
+            found = [a, total - a]
+            if beside not in found or found.count(beside) < self.stock[beside]:
+                return found
+        return []
 
     def exact(self, total: int) -> list[int]:
         """One, two or three lengths in stock that sum to total; [] if there are none."""
-        if self.mask >> total & 1:
+        if self.ones >> total & 1:
             return [total]
         if found := self.pair(total):
             return found
-        top = self.largest(total - 2)
-        while 3 * top >= total:
-            self.take(top)
-            found = self.pair(total - top)
-            self.take(top, -1)
-            if found:
-                return [top, *found]
-            top = self.largest(top - 1)
+        hits = self.ones & (self.twos_mirrored >> (self.capacity - total))
+        while hits:
+            a = hits.bit_length() - 1
+            hits ^= 1 << a
+            if 3 * a < total:
+                break  # the longest of three is no shorter than a third
+            if found := self.pair(total - a, a):
+                return [a, *found]
         return []
 
 
@@ -232,13 +241,14 @@ def pack(pieces: DataFrame, capacity: int, length_column: str = "length", by: tu
     """pieces with sequence_id and offset. ``pieces`` is read twice: give a saved table.
 
     Lengths lie between 1 and capacity. Which of several equally long pieces goes where follows
-    from a hash of the ``by`` columns, so reruns agree.
+    from a hash of the ``by`` columns, so reruns agree. Columns sequence_id and offset that pieces
+    has already are replaced; all others stay, whatever their names.
     """
     counts = {int(n): int(c) for n, c in pieces.groupBy(length_column).count().collect()}
     keys, sequences, offsets = placements(plan(counts, capacity))
-    ranked = rank_in_groups(pieces.withColumn("_order", F.xxhash64(*by)), [length_column], "_order", list(by), "_rank").drop("_order")
-    names = [n for n in ranked.columns if n != "_rank"]
-    ranked = ranked.select(*names, "_rank")
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    order, rank = fresh(pieces.columns, "_order", "_rank")
+    ranked = rank_in_groups(pieces.withColumn(order, F.xxhash64(*by)), [length_column], order, list(by), rank).select(*names, rank)
     schema = T.StructType(ranked.schema.fields[:-1] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     at = names.index(length_column)
 

@@ -1,6 +1,7 @@
 """Token counts, packing, media and language-model scoring against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import struct
@@ -85,6 +86,29 @@ def test_exact_complements_are_found():
     assert many == [([40, 24], 10**9)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), max_size=8), st.lists(st.integers(0, 7), max_size=6), st.integers(1, 40))
+def test_index_finds_what_enumeration_finds(counts, gone, total):
+    """Singles, pairs and triples under the counts, also after some were taken."""
+    left, stock = packing.Lengths(counts, 40), Counter(counts)
+    left.exact(total)
+    for i in gone:
+        own = sorted(n for n, c in stock.items() if c)
+        if own:
+            left.take(own[i % len(own)])
+            stock[own[i % len(own)]] -= 1
+    items = sorted(stock.elements())
+    ways = {sum(x) for k in (1, 2, 3) for x in itertools.combinations(items, k)}
+    found = left.exact(total)
+    assert bool(found) == (total in ways) and (not found or sum(found) == total and not Counter(found) - stock)
+
+
+def test_packing_of_real_documents_is_close_to_the_bound(spark):
+    got = queries.op3_best_fit_packing(spark, "/root/testdata/sf0.001").toPandas()
+    used, bound = got["sequence_id"].nunique(), -(-int(got["length"].sum()) // 4096)
+    assert bound <= used <= 1.02 * bound + 1
+
+
 def test_plan_is_close_to_the_bound():
     rng = random.Random(4)
     lengths = [min(4096, int(rng.lognormvariate(6, 1)) + 1) for _ in range(5000)]
