@@ -1,22 +1,25 @@
-"""Line dedup by winnowing: later repeats of runs of words are deleted, wherever lines break.
-
-A passage that repeats need not start at a line break, so the hashed units are sliding lines: each
-run of ``line`` successive words. Of every window of ``run - line + 1`` successive units the least
-hash is a fingerprint, so any ``run`` words that occur twice share one in the same place: that is
-the guarantee. Fingerprints are joined by a bit set of those that occur again. Around them, all
-runs of ``run`` words are compared, in both directions: those with an earlier equal run, in order of
-(id, position), are later repeats, and together they make the longest repeated stretches. A word
-is deleted if a later repeat covers it; exactly that, whatever the partitioning.
-
-With ``least``, real lines are units as well: a line (between bytes 10 to 13) of ``least`` or more
-words is hashed by its words, and deleted where an equal line occurs earlier in the same order;
-and texts of any length that equal an earlier one go whole. Lines of fewer words go only with
-these or with a run. Without ``least`` there are runs alone.
-
-Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Texts that equal an earlier one are found
-whole. What remains of a text keeps its own white space. Null texts stay null; without ``least``,
-texts under ``run`` words stay as they are; an empty table gives no rows. Null ids come first in the order; rows with one id are one document in several versions,
-which don't delete from one another. Hashes of texts and runs have 64 bits.
+"""Line dedup by winnowing: later repeats of lines and of runs of words are deleted.
+
+Two kinds of units are hashed by their words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased):
+
+* real lines (between bytes 10 to 13). A line of ``least`` or more words is a unit; a shorter one makes
+  units with the lines that follow it, and with those before it, as many as it takes to ``least``
+  words. So a repeat of lines extends both ways over short ones, and units with equal words are
+  equal however their lines break;
+* as passages need not start at a line break, sliding lines: each run of ``line`` successive words. Of
+  every window of ``run - line + 1`` successive ones the least hash is a fingerprint, so any ``run``
+  words that occur twice share one in the same place: that is the guarantee.
+
+Hashes of real lines and fingerprints that occur again (a bit set of them) give the positions to be
+joined. A match of fingerprints extends as far both ways as the runs of ``run`` words around it
+are equal. The earliest unit or run in order of (id, position) stays, later ones are deleted: a word
+goes if a later repeat covers it; exactly that, whatever the partitioning. Texts that equal an
+earlier one go whole. With ``least`` None there are runs alone, and texts under ``run`` words stay.
+
+What remains of a text keeps its own white space. Null texts stay null; an empty table gives no
+rows. Whole-number ids are ordered as numbers, all others as text; null ids come first. Rows with
+one id are one document in several versions, which don't delete from one another. Columns may have
+any names; one named as the column of removed words is replaced. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, _powers, bit_set, bits_for, discard, in_bits, map_batches, mix, runs_of, saved, text_slices
+from .common import _SPACE, POLYNOMIAL, _powers, bit_set, bits_for, discard, fresh, in_bits, map_batches, mix, others, runs_of, saved, text_slices
 
 RUN, LINE = 50, 16
-#: Words of the shortest real line that op10 deletes by itself.
+#: Words of the shortest unit of real lines.
 LEAST = 5
 #: Stands for a null id.
 NO_ID = -(1 << 63)
@@ -86,47 +90,69 @@ def line_firsts(column: pa.Array) -> np.ndarray:
     return np.concatenate([[True], breaks[1:] != breaks[:-1]]) if len(breaks) else np.empty(0, bool)
 
 
-def lines_of(h: np.ndarray, firsts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, first words, words) of the lines of ``least`` or more words."""
+def lines_of(h: np.ndarray, firsts: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first words, words) of the units of real lines, from the words' hashes, whether a word is the first of a line, and its text."""
     starts = np.flatnonzero(firsts)
     n = np.diff(np.append(starts, len(h)))
-    starts, n = starts[n >= least], n[n >= least]
+    own, last = text[starts], len(starts) - 1
+    units = []
+    for step in (1, -1):
+        at, words, end = np.flatnonzero(n < least), n[n < least], np.flatnonzero(n < least)
+        for _ in range(least - 1):
+            after = np.clip(end + step, 0, max(last, 0))
+            more = (words < least) & (after != end) & (own[after] == own[at])
+            words = words + np.where(more, n[after], 0)
+            end = np.where(more, after, end)
+        units.append(np.stack([np.minimum(at, end), words], 1)[words >= least])
+    whole = np.flatnonzero(n >= least)
+    units = np.unique(np.concatenate([*units, np.stack([whole, n[whole]], 1)]), axis=0)
+    starts, n = starts[units[:, 0]], units[:, 1]
     up, down = _powers(0xBF58476D1CE4E5B9, len(h))
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[: len(h)], out=sums[1:])
-    # Another constant than that of runs: a line is equal to lines only.
-    return mix((sums[starts + n] - sums[starts]) * down[starts] + n.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), starts, n
+    # Another constant than that of runs: a unit is equal to units only.
+    out = mix((sums[starts + n] - sums[starts]) * down[starts] + n.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    for i in np.flatnonzero(n > POLYNOMIAL).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(h[starts[i] : starts[i] + n[i]].tobytes())
+    return out, starts, n
+
+
+def order_key(docs: DataFrame, id_column: str) -> Column:
+    """The id as a number, or else as text, without nulls: they are the least."""
+    if docs.schema[id_column].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
+    return F.when(F.col(id_column).isNull(), "").otherwise(F.concat(F.lit("="), F.col(id_column).cast("string")))
 
 
 def _scan(keyed: DataFrame, per_slice, names: list[str]) -> DataFrame:
-    """Long columns that per_slice(word hashes, words of each text, ids, text hashes, texts) makes of the rows (text, id, text hash)."""
+    """Columns that per_slice(word hashes, words of each text, text hashes, texts) makes of the rows (t, i, s): longs, and ``i`` by places of rows."""
 
     def f(batches):
         for batch in batches:
-            ids, own = (batch.column(i).to_numpy() for i in (1, 2))
+            own = batch.column(2).to_numpy()
             for a, b, h, counts in text_slices(batch.column(0)):
-                columns = per_slice(h, counts, ids[a:b], own[a:b], batch.column(0).slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in columns], names=names)
+                columns = per_slice(h, counts, own[a:b], batch.column(0).slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(c + a)) if n == "i" else pa.array(c.astype(np.int64, copy=False)) for n, c in zip(names, columns, strict=True)], names=names)
 
-    return map_batches(keyed, f, ", ".join(f"{n} long" for n in names))
+    return map_batches(keyed, f, T.StructType([T.StructField(n, keyed.schema["i"].dataType if n == "i" else T.LongType()) for n in names]))
 
 
 def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN, line: int = LINE, least: int | None = None) -> DataFrame:
-    """(i, s, p, n): id, text hash, first word and words of each later repeat; p is -1 if the whole text is one."""
+    """(i, s, p, n): order key of the id, text hash, first word and words of each later repeat; p is -1 if the whole text is one."""
     units = run - line + 1
-    keyed = docs.select(F.col(text_column).alias("t"), F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64(text_column).alias("s"))
+    keyed = docs.select(F.col(text_column).alias("t"), order_key(docs, id_column).alias("i"), F.xxhash64(text_column).alias("s"))
     first = keyed.groupBy("s").agg(F.min("i").alias("first"), F.max("i").alias("last")).where("first < last").select(F.col("s").alias("k"), "first")
     copied = saved(first)
     again = bit_set(copied, "k", bits_for(copied.count()))
     whole = keyed.select("i", "s").join(copied, F.col("s") == F.col("k")).where("i > first").select("i", "s", F.lit(-1).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
 
     # Fingerprints of each text, once each; with the text's hash if the text has copies (which count once), else 0, and 2 for those the text has twice.
-    def prints(h, counts, i, s, texts):
+    def prints(h, counts, s, texts):
         u, m, _, text = windows(h, counts, run, line)
         at = selected(u, m, units)
         f, own = u[at].view(np.int64), text[at]
         if least:
-            r, at, _ = lines_of(h, line_firsts(texts), least)
+            r, at, _ = lines_of(h, line_firsts(texts), text, least)
             f, own = np.concatenate([f, r.view(np.int64)]), np.concatenate([own, text[at]])
         order = np.lexsort((f, own))
         f, own = f[order], own[order]
@@ -144,13 +170,13 @@ def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     discard(common)
 
     # Runs around repeated fingerprints. Repeats within a text are known at once: they get r = 0.
-    def runs(h, counts, i, s, texts):
+    def runs(h, counts, s, texts):
         _, m, inside, text = windows(h, counts, run, line)
         at = np.flatnonzero(inside)
         at = at[in_bits(bits, m[at])]
         r, n = runs_of(h, run)[at], np.full(len(at), run)
         if least:
-            of_lines, starts, words = lines_of(h, line_firsts(texts), least)
+            of_lines, starts, words = lines_of(h, line_firsts(texts), text, least)
             known = in_bits(bits, of_lines)
             r, at, n = (np.concatenate(x) for x in ((r, of_lines[known]), (at, starts[known]), (n, words[known])))
         r = np.maximum(r, np.uint64(1)).view(np.int64)
@@ -159,7 +185,7 @@ def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         again_ = np.zeros(len(at), bool)
         again_[order[1:]] = (r[order[1:]] == r[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
         starts = np.cumsum(counts) - counts
-        return np.where(again_, 0, r), i[own], s[own], at - starts[own], n
+        return np.where(again_, 0, r), own, s[own], at - starts[own], n
 
     rows = saved(_scan(keyed, runs, ["r", "i", "s", "p", "n"]))
     earliest = rows.where("r <> 0").groupBy("r").agg(F.min("i").alias("e"), F.max("i").alias("l")).where("e < l").select(F.col("r").alias("q"), "e")
@@ -168,18 +194,16 @@ def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN, line: int = LINE, removed_column: str = "n_removed", least: int | None = None) -> DataFrame:
-    """docs, all columns in place, with later repeats cut out of the text and the number of words removed.
-
-    Columns named _larkstead_i, _larkstead_s or _larkstead_p must not be there.
-    """
-    found = saved(marks(docs, id_column, text_column, run, line, least).groupBy("i", "s").agg(F.array_sort(F.collect_set(F.expr("p * 4294967296 + n"))).alias("_larkstead_p")))
+    """docs, all columns in place, with later repeats cut out of the text and the number of words removed."""
+    docs = others(docs, removed_column)
+    found = saved(marks(docs, id_column, text_column, run, line, least).groupBy("i", "s").agg(F.array_sort(F.collect_set(F.expr("p * 4294967296 + n"))).alias("p")))
     keys = saved(found.select(F.xxhash64("i", "s").alias("k")))
     bits = bit_set(keys, "k", bits_for(keys.count()))
     discard(keys)
     names = docs.columns
     at = names.index(text_column)
-    key = (F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), F.xxhash64(text_column))
-    keyed = docs.withColumns({"_larkstead_i": key[0], "_larkstead_s": key[1]}).withColumn("_larkstead_k", F.xxhash64("_larkstead_i", "_larkstead_s"))
+    i, s, k, i_found, s_found, p = fresh(names, "_i", "_s", "_k", "_i_found", "_s_found", "_p")
+    keyed = docs.withColumns({i: order_key(docs, id_column), s: F.xxhash64(text_column)}).withColumn(k, F.xxhash64(i, s))
     schema = T.StructType(docs.schema.fields + [T.StructField(removed_column, T.LongType())])
 
     def split(marked: bool):
@@ -204,7 +228,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     # Rows without marks stay where they are; only the others' texts are shuffled.
     clean = map_batches(keyed, split(False), schema)
     touched = map_batches(keyed, split(True), keyed.schema)
-    joined = touched.join(found.withColumnsRenamed({"i": "_i", "s": "_s"}), (F.col("_larkstead_i") == F.col("_i")) & (F.col("_larkstead_s") == F.col("_s")), "left").select(*names, "_larkstead_p")
+    joined = touched.join(found.select(F.col("i").alias(i_found), F.col("s").alias(s_found), F.col("p").alias(p)), (F.col(i) == F.col(i_found)) & (F.col(s) == F.col(s_found)), "left").select(*names, p)
     return clean.union(map_batches(joined, remove, schema))
 
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from . import jaccard, line_dedup, mixing, packing, quality
-from .common import bit_set, bits_for, discard, in_bits, map_batches, saved, table
+from .common import bit_set, bits_for, discard, fresh, in_bits, map_batches, saved, table
 
 SEQUENCE = 4096
 
@@ -22,7 +23,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     keys = saved(gone.select(F.xxhash64("doc_id").alias("k")))
     bits = bit_set(keys, "k", bits_for(keys.count()))
     discard(keys)
-    keyed = docs.withColumn("_larkstead_k", F.xxhash64("doc_id"))
+    keyed = docs.withColumn(*fresh(docs.columns, "_k"), F.xxhash64("doc_id"))
 
     def split(suspect: bool):
         def f(batches):
@@ -38,14 +39,16 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score(docs, model, score_column="_score").where("_score >= 0.5").drop("_score")
+    (score,) = fresh(docs.columns, "_score")
+    return quality.score(docs, model, score_column=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts later repeats out of texts; documents of which no word is left go."""
-    out = line_dedup.dedup(docs, removed_column="_removed")
-    gone = (F.col("_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    chars = F.when(F.col("_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    """Cuts later repeats of lines and runs out of texts; documents of which no word is left go."""
+    (removed,) = fresh(docs.columns, "_removed")
+    out = line_dedup.dedup(docs, removed_column=removed, least=line_dedup.LEAST)
+    gone = (F.col(removed) > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    chars = F.when(F.col(removed) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.where(~gone).withColumn("n_chars", chars).select(docs.columns)
 
 
@@ -57,11 +60,22 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources come to their target weights."""
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    mixed = mixing.mix(saved(docs.select("doc_id", "source", size.alias("size"))))
-    copies = mixed.groupBy(F.col("doc_id").alias("_i")).agg(F.max("copies").cast("int").alias("_n")).where("_n > 0")
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_i"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(docs.columns)
+    """Repeats or leaves out documents so that sources come to their target weights.
+
+    Rows with one id, source and size are told apart by their place among them.
+    """
+    names = fresh(docs.columns, "_size", "_place", "_copy")
+    size, place, copy = names
+    own = ["doc_id", "source", size]
+    sized = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+    mixed = mixing.mix(saved(sized.select("doc_id", "source", F.col(size).alias("size"))))
+    mixed = mixed.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("copies").cast("int").alias("n"))
+    mixed = mixed.withColumn("r", F.row_number().over(W.Window.partitionBy("i", "s", "z").orderBy(F.col("n").desc()))).where("n > 0")
+    mixed = mixed.toDF(*fresh([*docs.columns, *names], "_i", "_s", "_z", "_n", "_r"))
+    i, s, z, n, r = mixed.columns
+    placed = sized.withColumn(place, F.row_number().over(W.Window.partitionBy(*own).orderBy(F.xxhash64("text"))))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(size) == F.col(z)) & (F.col(place) == F.col(r))
+    return placed.join(mixed, same).withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Joins, dedup, mixing, classifiers, search and the pipeline against brute force."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -33,6 +34,18 @@ def test_word_hashes_are_per_word_and_text(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_long_words_and_sequences_have_no_structural_collisions(documents):
+    """The Thue-Morse word and its complement collide under any polynomial modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    h, _ = common.word_hashes(np.frombuffer(f"{word} {other}".encode(), np.uint8), np.array([0, 2 * 4096 + 1]))
+    assert len(set(h.tolist())) == 2
+    rows = [(1, word), (2, other), (3, " ".join(word)), (4, " ".join(other))]
+    assert len({r["component_id"] for r in jaccard.join(documents(rows[:2])).collect()}) == 2
+    assert all(r["n_removed"] == 0 for r in line_dedup.dedup(documents(rows), least=5, run=200).collect() if r["doc_id"] < 3)
+    assert len(set(line_dedup.lines_of(np.tile(h, 2048)[np.array([int(c == "b") for c in word + other])], np.arange(8192) % 4096 == 0, np.zeros(8192, int), 5)[0].tolist())) == 2
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 560)] + [(-7, 3), (9, 9)]
@@ -191,28 +204,66 @@ def test_line_dedup_matches_brute_force(documents, odd_rows, run, line):
     assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars", "score", "length", "n_removed"}
 
 
-def test_line_dedup_deletes_real_lines_and_short_copies(spark, tmp_path):
-    """Against brute force over lines; no run of 50 words is in it."""
+def lines_by_force(rows, run, least):
+    """(words kept, words removed) by text, ids being unique: units of lines and runs of words whose words occur earlier go; whole copies go."""
+    seen, texts, out = set(), set(), {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        w, lines, at = words(t), [], 0
+        for x in re.split("[\n\x0b\x0c\r]", t or ""):
+            lines.append((at, len(words(x))))
+            at += len(words(x))
+        lines = [x for x in lines if x[1]]
+        units = {(p, p + run, "run") for p in range(len(w) - run + 1)}
+        for j in range(len(lines)):
+            for step in (1, -1):
+                k, n = j, lines[j][1]
+                while n < least and 0 <= k + step < len(lines):
+                    k += step
+                    n += lines[k][1]
+                if n >= least:
+                    first = lines[min(j, k)][0]
+                    units.add((first, first + n, "lines"))
+        gone, own = [False] * len(w), set()
+        for a, b, kind in sorted(units):
+            key = (kind, tuple(w[a:b]))
+            if key in seen or key in own:
+                gone[a:b] = [True] * (b - a)
+            own.add(key)
+        kept = [] if t in texts else [x for x, g in zip(WORD.findall(t or ""), gone, strict=True) if not g]
+        out[i] = kept, len(w) - len(kept)
+        seen |= own
+        texts.add(t)
+    return out
+
+
+def line_rows():
     rng = random.Random(8)
-    pool = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (3, 4, 5, 6, 9, 12, 30) for _ in range(3)]
-    rows = [(i, "\n".join((t.upper() if rng.random() < 0.3 else t.replace(" ", "  ")) for t in (rng.choice([*pool, f"own line {i} {j} of text", f"few {i}"]) for j in range(rng.randint(1, 4))))) for i in range(60)]
-    rows += [(100, "two words"), (101, "two words"), (102, " \n "), (103, " \n "), (104, None), (105, None)]
+    pool = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 9, 12, 30, 300) for _ in range(3)]
+    rows = [(i, rng.choice("\n\r\f").join((t.upper() if rng.random() < 0.3 else t.replace(" ", "  ")) for t in (rng.choice([*pool, f"own line {i} {j} of text", f"few {i}"]) for j in range(rng.randint(1, 6))))) for i in range(80)]
+    rows += [(90 + i, t) for i, t in enumerate(["Home\nAbout us\n\nfive words of a line\nTop", "Home\nAbout us\nfive words\nof a line\nTop", "other\nfive words of a line\nTop"])]
+    return [*rows, (100, "two words"), (101, "two words"), (102, " \n "), (103, " \n "), (104, None), (105, None)]
+
+
+def test_line_dedup_deletes_real_lines_and_short_copies(spark, tmp_path):
+    rows = line_rows()
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (WORD.findall(r["text"] or ""), r["n_removed"]) for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
-    seen, texts, runs, force = set(), set(), Counter(), {}
-    for i, t in rows:
-        kept = []
-        for x in (t or "").split("\n"):
-            k = tuple(words(x))
-            if len(k) < 5 or k not in seen:
-                kept += WORD.findall(x)
-            seen.add(k)
-        force[i] = ([] if t in texts else kept, len(words(t)) - (0 if t in texts else len(kept)))
-        texts.add(t)
-        w = words(t)
-        runs.update({tuple(w[p : p + 50]) for p in range(len(w) - 49)})
-    assert max(runs.values(), default=0) <= 1 and force[101] == ([], 2)
-    assert got == force
+    force = lines_by_force(rows, 50, 5)
+    assert got == force and force[101] == ([], 2) and force[92][0] == ["other"]
+
+
+def test_a_short_line_in_many_texts_stays_once(documents):
+    line = "this line of ten words is in each document here"
+    got = line_dedup.dedup(documents([(i, f"text of number {i} alone\n{line}\nend of {i} it is") for i in range(50)]), least=5).collect()
+    assert sorted(r["n_removed"] for r in got) == [0] + [10] * 49
+
+
+def test_line_dedup_with_text_ids_and_any_columns(spark):
+    """String ids; columns named as the operator's own."""
+    rows = [("b", "x y z u v w", 1, 2, 3, 4), ("a", "X y z u v w", 1, 2, 3, 4), (None, "x y z u v w\nq", 1, 2, 3, 4), ("", None, 1, 2, 3, 4)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id string, text string, _i int, _s int, N_removed int, _k int"), least=5).collect()
+    assert {(r["doc_id"], r["text"], r["n_removed"]) for r in got} == {(None, "x y z u v w\nq", 0), ("a", "", 6), ("b", "", 6), ("", None, 0)}
+    assert got[0].asDict().keys() == {"doc_id", "text", "_i", "_s", "_k", "n_removed"}
 
 
 def test_line_dedup_leaves_clean_texts_alone(documents, odd_rows):
@@ -382,14 +433,32 @@ def test_pipeline_stages(spark):
             assert docs.schema.names == ["doc_id", "text", "lang", "source", "n_chars"]
     rows = lambda df: [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     before, after = rows(kept[0]), rows(kept[1])
-    force = {i: w for i, w, _ in dedup_by_force(before, line_dedup.RUN)}
+    force = {i: w for i, (w, _) in lines_by_force(before, line_dedup.RUN, line_dedup.LEAST).items()}
     had = {i: len(words(t)) for i, t in before}
     assert {i: WORD.findall(t or "") for i, t in after} == {i: w for i, w in force.items() if w or not had[i]}
     least = {i for i, _, c in components_by_force(after, 5, 80, 100) if i == c}
     assert {i for i, _ in rows(kept[2])} == least
     copies = Counter(i for i, _ in rows(kept[3]))
     assert set(copies) <= least and max(copies.values()) <= 3
-    assert Counter(r["doc_id"] for r in kept[4].where("piece = 0").collect()) == copies
+    # Mixing: each source's words come within its longest document of the target.
+    size, source = {i: len(words(t)) for i, t in rows(kept[2])}, {r["doc_id"]: r["source"] for r in kept[2].collect()}
+    order = sorted(set(source.values()))
+    for s, goal in zip(order, mixing.targets([sum(size[i] for i in size if source[i] == s) for s in order]), strict=True):
+        own = [i for i in size if source[i] == s]
+        assert abs(sum(size[i] * copies[i] for i in own) - goal) <= max(size[i] for i in own)
+    # Packing: each copy's ids once, in gapless sequences.
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in rows(kept[2])}
+    packed = kept[4].collect()
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    want = Counter((i, p, len(ids[i][p * 4096 : (p + 1) * 4096]), crc(ids[i][p * 4096 : (p + 1) * 4096])) for i in copies.elements() for p in range(-(-len(ids[i]) // 4096)))
+    assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packed) == want
+    places = defaultdict(list)
+    for r in packed:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sorted(own)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:], strict=False)) and sum(n for _, n in own) <= 4096 for own in places.values())
 
 
 def test_near_copies_leave_one(spark, documents):
