@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The digits of Crockford's base 32.
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 # Prefixes of identifiers.
 KINDS = ("usr", "ses", "loc", "dev", "doc", "ast", "pln", "occ", "job", "ntf", "trm")
+# The back-off of failed attempts.
 BACKOFF_FIRST_MS, BACKOFF_MOST_MS, BACKOFF_DOUBLINGS = 5_000, 600_000, 16
 
 
@@ -81,9 +83,9 @@ def id_kind(text: Column | str) -> Column:
 
 
 def valid_id(text: Column | str, kind: str | None = None) -> Column:
-    """A prefix (that of ``kind``, if given), an underscore, and 26 base-32 digits that fit 128 bits."""
+    """A prefix (exactly ``kind``, if given), an underscore, and 26 base-32 digits, in either case, that fit 128 bits."""
     prefix = "[^_]*" if kind is None else kind
-    return F.coalesce(F.upper(_c(text)).rlike(f"^{prefix.upper()}_[0-7][{CROCKFORD}]{{25}}$"), F.lit(False))
+    return F.coalesce(_c(text).rlike(f"^{prefix}_(?i:[0-7][{CROCKFORD}]{{25}})$"), F.lit(False))
 
 
 def id_time(text: Column | str) -> Column:
@@ -138,8 +140,15 @@ def backoff_ms(attempts: Column | str) -> Column:
 
 
 def jitter_ms(delay: Column | str, seed: Column | str) -> Column:
-    """Up to a quarter of the delay, from a seed, to be taken off."""
-    return F.pmod(F.xxhash64(_c(seed)), F.greatest(F.floor(_c(delay) / 4), F.lit(1)).cast("long"))
+    """Less than a quarter of the delay, from 32 bits of a seed's SHA-256."""
+    bits = F.conv(F.substring(F.sha2(_c(seed).cast("string"), 256), 1, 8), 16, 10).cast("long")
+    return bits % F.greatest(F.floor(_c(delay) / 4).cast("long"), F.lit(1))
+
+
+def retry_delay_ms(attempts: Column | str, seed: Column | str) -> Column:
+    """The back-off less a jitter, so that jobs that failed together don't come back together."""
+    delay = backoff_ms(attempts)
+    return delay - jitter_ms(delay, seed)
 
 
 def terminal(state: Column | str) -> Column:
@@ -191,18 +200,27 @@ def data_route(kind: Column | str, wanted: Column | str) -> Column:
     return F.when(_c(kind).isin("receipt", "warranty"), F.lit("local")).otherwise(_c(wanted))
 
 
-#: BCP-47 base language to OCR language, beyond the three-letter default.
-OCR_CODES = {
-    "de": "deu", "en": "eng", "fr": "fra", "es": "spa", "it": "ita", "nl": "nld", "pl": "pol", "uk": "ukr", "ru": "rus", "pt": "por", "sv": "swe", "da": "dan",
-    "no": "nor", "fi": "fin", "cs": "ces", "tr": "tur", "el": "ell", "he": "heb", "ar": "ara", "th": "tha", "zh": "chi_sim", "ko": "kor", "ja": "jpn",
-}
+# OCR languages that aren't named by their three-letter code.
+OCR_CODES = {"zh": "chi_sim", "ko": "kor", "ja": "jpn"}
+
+
+@lru_cache(maxsize=1)
+def _three_letter_codes() -> dict[str, str]:
+    """ISO 639 codes of two letters and of three, as the JVM's locales know them."""
+    locale = SparkSession.active()._jvm.java.util.Locale
+    return {code: locale.forLanguageTag(code).getISO3Language() for code in locale.getISOLanguages()}
 
 
 def ocr_codes(tags: Column | str) -> Column:
-    """OCR languages of language tags, in order, English last; unknown tags are skipped."""
-    table = F.create_map(*[F.lit(x) for pair in OCR_CODES.items() for x in pair])
-    known = F.transform(_c(tags), lambda t: F.try_element_at(table, F.lower(F.element_at(F.split(t, "-"), 1))))
-    return F.array_distinct(F.concat(F.filter(known, lambda c: c.isNotNull()), F.array(F.lit("eng"))))
+    """OCR languages of language tags, in order, English last; malformed and unknown tags are skipped.
+
+    A base of two letters has its ISO 639 code of three; one of three letters must be such a code.
+    """
+    known = _three_letter_codes()
+    table = F.create_map(*[F.lit(x) for pair in ({c: c for c in known.values()} | known | OCR_CODES).items() for x in pair])
+    well_formed = F.filter(_c(tags), lambda t: t.rlike("^[A-Za-z]{2,3}([-_][A-Za-z0-9]{1,8})*$"))
+    found = F.transform(well_formed, lambda t: F.try_element_at(table, F.lower(F.regexp_extract(t, "^[A-Za-z]+", 0))))
+    return F.array_distinct(F.concat(F.filter(found, lambda c: c.isNotNull()), F.array(F.lit("eng"))))
 
 
 def problems(**checks: tuple[Column, str]) -> Column:

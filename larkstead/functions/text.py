@@ -40,9 +40,11 @@ def document_frequency(docs: DataFrame, text: str) -> DataFrame:
 
 
 def script_counts(text: Column | str) -> dict[str, Column]:
-    """Letters of each script."""
+    """Letters of each script. Texts without letters beyond Latin ones (most) are read twice, not once a script."""
     t = F.col(text) if isinstance(text, str) else text
-    return {s.lower(): F.regexp_count(t, F.lit(rf"\p{{Is{s}}}")).cast("long") for s in SCRIPTS}
+    latin = F.regexp_count(t, F.lit(r"\p{IsLatin}")).cast("long")
+    others = t.rlike("[" + "".join(rf"\p{{Is{s}}}" for s in SCRIPTS if s != "Latin") + "]")
+    return {s.lower(): latin if s == "Latin" else F.when(others, F.regexp_count(t, F.lit(rf"\p{{Is{s}}}"))).otherwise(F.when(t.isNotNull(), 0)).cast("long") for s in SCRIPTS}
 
 
 def main_script(text: Column | str) -> Column:
@@ -53,21 +55,23 @@ def main_script(text: Column | str) -> Column:
 
 
 def function_word_scores(text: Column | str, words: dict[str, tuple[str, ...]] = FUNCTION_WORDS) -> dict[str, Column]:
-    """Tokens of a text that are function words of each language; one pass, no join."""
-    own = tokens(text)
+    """Tokens of a text that are function words of each language; no join. The text is cut once, to tokens that any language has."""
+    every = sorted({w for of in words.values() for w in of})
+    own = F.filter(tokens(text), lambda t: t.isin(*every))
 
     def count(of: tuple[str, ...]) -> Column:
-        return F.size(F.filter(own, lambda t: t.isin(*of))).cast("long")
+        return F.size(F.filter(F.col("_function_words"), lambda t: t.isin(*of))).cast("long")
 
-    return {lang: count(of) for lang, of in words.items()}
+    return {"_function_words": own} | {lang: count(of) for lang, of in words.items()}
 
 
 def guess_language(docs: DataFrame, text: str, words: dict[str, tuple[str, ...]] = FUNCTION_WORDS) -> DataFrame:
     """docs with guess and score: the language of most function words, first by name between equals; null without any."""
-    scored = docs.withColumns({f"_{lang}": c for lang, c in function_word_scores(text, words).items()})
+    scores = function_word_scores(text, words)
+    scored = docs.withColumn("_function_words", scores.pop("_function_words")).withColumns({f"_{lang}": c for lang, c in scores.items()})
     best = F.greatest(*[F.col(f"_{lang}") for lang in words])
     first = F.coalesce(*[F.when(F.col(f"_{lang}") == best, F.lit(lang)) for lang in sorted(words)])
-    return scored.withColumn("guess", F.when(best > 0, first)).withColumn("score", best).drop(*[f"_{lang}" for lang in words])
+    return scored.withColumn("guess", F.when(best > 0, first)).withColumn("score", best).drop("_function_words", *[f"_{lang}" for lang in words])
 
 
 def index_codes(text: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import fold_email
 from ..schemas import SESSION_MS, TOUCH_MS
-from .snapshot import affected, delete, insert_new, update
+from .snapshot import affected, delete, insert_new, inserted, update
 
 
 def authenticate(sessions: DataFrame, users: DataFrame, token_hash: Column, now: int) -> DataFrame:
@@ -17,9 +17,14 @@ def authenticate(sessions: DataFrame, users: DataFrame, token_hash: Column, now:
     return s.join(u, F.col("s.user_id") == F.col("u.id")).select(F.struct("s.*").alias("session"), F.struct("u.*").alias("user"))
 
 
+def created_sessions(new: DataFrame, users: DataFrame) -> DataFrame:
+    """The new sessions of known users: those that are inserted."""
+    return new.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi").select(*new.columns)
+
+
 def create_session(sessions: DataFrame, new: DataFrame, users: DataFrame) -> DataFrame:
     """sessions and the new ones of known users."""
-    return sessions.unionByName(new.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi").select(*sessions.columns))
+    return sessions.unionByName(created_sessions(new, users))
 
 
 def touch_session(sessions: DataFrame, ids: Column, now: int) -> DataFrame:
@@ -53,9 +58,19 @@ def public_session(sessions: DataFrame) -> DataFrame:
     return sessions.select("id", "user_id", "created_at", "last_seen_at", "expires_at")
 
 
+def created_users(users: DataFrame, new: DataFrame) -> DataFrame:
+    """The new users whose folded address is free; of several with one address, that of the smallest id."""
+    return inserted(users, new, "email_folded", ["id"])
+
+
 def create_user(users: DataFrame, new: DataFrame) -> DataFrame:
-    """users and the new ones whose folded address is free."""
-    return insert_new(users, new, "email_folded")
+    """users and the new ones that are created."""
+    return insert_new(users, new, "email_folded", ["id"])
+
+
+def public_wraps(wraps: DataFrame) -> DataFrame:
+    """Ways to unlock a keyring, without secret material: ciphertext and salt are blank."""
+    return wraps.withColumns({"ciphertext": F.lit(""), "salt": F.lit("")})
 
 
 def user_by_email(users: DataFrame, email: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .snapshot import delete
+from .snapshot import delete, insert_new
 
 
 def put_blobs(puts: DataFrame) -> DataFrame:
@@ -15,7 +15,13 @@ def put_blobs(puts: DataFrame) -> DataFrame:
 
 
 def upsert_blob(blobs: DataFrame, new: DataFrame) -> DataFrame:
-    return blobs.unionByName(new.join(blobs.select("sha256"), "sha256", "left_anti"))
+    """blobs and the new digests; of several new rows with one digest, the earliest."""
+    return insert_new(blobs, new, "sha256", ["created_at", "size_bytes", "media_type"])
+
+
+def stat_blobs(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sha256, size_bytes, media_type) of wanted digests; null sizes for those that aren't there."""
+    return wanted.join(blobs.select("sha256", "size_bytes", "media_type"), "sha256", "left")
 
 
 def get_blob(blobs: DataFrame, digest: str) -> DataFrame:

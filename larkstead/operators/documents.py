@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -38,20 +38,23 @@ def scope(pages: DataFrame, languages: list[str]) -> DataFrame:
     return per.where(F.col("lang").isin(*languages)).crossJoin(F.broadcast(total)).select("lang", "pages", (F.col("pages") / F.col("_all")).alias("share"))
 
 
-def section_problems(sections: DataFrame, total_pages: int) -> DataFrame:
-    """(code, problem) of a manifest: wrong lengths, ranges beyond the document, gaps and overlaps, codes used twice."""
-    w = W.Window.orderBy("pdf_start", "code")
+def section_problems(sections: DataFrame, total_pages: int | Column, by: str) -> DataFrame:
+    """(by, code, problem) of each document's manifest: wrong lengths, ranges beyond the document, gaps and overlaps, codes used twice.
+
+    Pages are numbered from 1. ``by`` names the document; ``total_pages`` may be a column.
+    """
+    w = W.Window.partitionBy(by).orderBy("pdf_start", "code")
     after = F.lag("pdf_end").over(w)
-    same = W.Window.partitionBy("code")
+    same = W.Window.partitionBy(by, "code")
     checks = {
         "length": F.col("pages") != F.col("pdf_end") - F.col("pdf_start") + 1,
-        "range": (F.col("pdf_start") < 0) | (F.col("pdf_end") > total_pages) | (F.col("pdf_end") < F.col("pdf_start")),
+        "range": (F.col("pdf_start") < 1) | (F.col("pdf_end") > total_pages) | (F.col("pdf_end") < F.col("pdf_start")),
         "gap": F.col("pdf_start") > after + 1,
         "overlap": F.col("pdf_start") <= after,
         "duplicate": F.count(F.lit(1)).over(same) > 1,
     }
     found = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
-    return sections.withColumn("problem", found).select("code", F.explode("problem").alias("problem"))
+    return sections.withColumn("problem", found).select(by, "code", F.explode("problem").alias("problem"))
 
 
 def page_sections(pages: DataFrame, sections: DataFrame, most: int = 10_000) -> DataFrame:
@@ -69,11 +72,11 @@ def page_sections(pages: DataFrame, sections: DataFrame, most: int = 10_000) ->
     return p.join(blocks, inside, "left").select(*pages.columns, "code")
 
 
-def index_drift(sections: DataFrame) -> DataFrame:
-    """(code, offset, drift): where a section begins against its printed page, and how that changes along the document."""
-    w = W.Window.orderBy("pdf_start")
+def index_drift(sections: DataFrame, by: str) -> DataFrame:
+    """(by, code, offset, drift): where a section begins against its printed page, and how that changes along its document."""
+    w = W.Window.partitionBy(by).orderBy("pdf_start", "code")
     offset = F.col("pdf_start") - F.col("printed_page")
-    return sections.select("code", "pdf_start", offset.alias("offset")).withColumn("drift", F.col("offset") - F.lag("offset").over(w)).select("code", "offset", "drift")
+    return sections.select(by, "code", "pdf_start", offset.alias("offset")).withColumn("drift", F.col("offset") - F.lag("offset").over(w)).select(by, "code", "offset", "drift")
 
 
 def reconcile(index: DataFrame, detected: DataFrame) -> DataFrame:

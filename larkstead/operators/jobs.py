@@ -9,7 +9,9 @@ from pyspark.sql import window as W
 from ..schemas import LEASE_MS, LIST_DEFAULT, LIST_MOST, PENDING, STATES
 from .snapshot import affected, delete, update
 
+# Messages that clients compare.
 RECLAIMED = "worker lease expired; job reclaimed"
+NO_HANDLER = "no handler registered for job kind "
 
 
 def check_limit(limit: int) -> int:
@@ -34,9 +36,12 @@ def pending_by_key(jobs: DataFrame, key: str) -> DataFrame:
 
 
 def recent(jobs: DataFrame, limit: int = LIST_DEFAULT, state: str | None = None) -> DataFrame:
-    """The newest jobs, of one state if given; the id decides between equal times."""
+    """The newest jobs, of one state if given; the id decides between equal times.
+
+    A limit of 0 or less means the default. ``check_limit`` is the stricter rule for clients' input.
+    """
     chosen = jobs if state is None else jobs.where(F.col("state") == check_state(state))
-    return chosen.orderBy(F.col("created_at").desc(), "id").limit(check_limit(limit))
+    return chosen.orderBy(F.col("created_at").desc(), "id").limit(LIST_DEFAULT if isinstance(limit, int) and limit <= 0 else check_limit(limit))
 
 
 def active(jobs: DataFrame) -> DataFrame:
@@ -79,19 +84,34 @@ def applied(jobs: DataFrame, changed: DataFrame) -> DataFrame:
     return jobs.join(changed.select("id"), "id", "left_anti").unionByName(changed)
 
 
-def enqueue(jobs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(snapshot with the accepted jobs, rejected jobs and the id that holds their key).
+def _judged(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """new with the id that holds each one's key, if another does. Only jobs with a key are joined."""
+    pending = jobs.where(F.col("state").isin(*PENDING) & F.col("dedupe_key").isNotNull()).groupBy("dedupe_key").agg(F.min("id").alias("_pending"))
+    keyed = new.where(F.col("dedupe_key").isNotNull())
+    first = keyed.groupBy("dedupe_key").agg(F.min("id").alias("_first"))
+    placed = keyed.join(first, "dedupe_key").join(pending, "dedupe_key", "left")
+    holder = F.coalesce("_pending", "_first")
+    judged = placed.withColumn("holder", F.when(holder != F.col("id"), holder)).select(*new.columns, "holder")
+    return judged.unionByName(new.where(F.col("dedupe_key").isNull()).withColumn("holder", F.lit(None).cast(new.schema["id"].dataType)))
+
+
+def accepted(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """The new jobs that get into the queue.
 
     A key is taken while a pending job has it; null keys never collide. Of new jobs with one key the
     smallest id is accepted.
     """
-    pending = jobs.where(F.col("state").isin(*PENDING) & F.col("dedupe_key").isNotNull()).groupBy("dedupe_key").agg(F.min("id").alias("holder"))
-    placed = new.join(pending, "dedupe_key", "left")
-    first = F.min("id").over(W.Window.partitionBy("dedupe_key"))
-    holder = F.when(F.col("dedupe_key").isNotNull(), F.coalesce("holder", first))
-    judged = placed.withColumn("holder", F.when(holder != F.col("id"), holder))
-    accepted = judged.where("holder is null").select(*jobs.columns)
-    return jobs.unionByName(accepted), judged.where("holder is not null").select("id", "dedupe_key", "holder")
+    return _judged(jobs, new).where("holder is null").select(*jobs.columns)
+
+
+def rejected(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, dedupe_key, holder) of new jobs whose key is taken."""
+    return _judged(jobs, new).where("holder is not null").select("id", "dedupe_key", "holder")
+
+
+def enqueue(jobs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(snapshot with the accepted jobs, rejected jobs and the id that holds their key)."""
+    return jobs.unionByName(accepted(jobs, new)), rejected(jobs, new)
 
 
 def progress(jobs: DataFrame, ids, fraction: float, note: str, now: int) -> DataFrame:
@@ -152,16 +172,16 @@ def purge(jobs: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame]:
 def without_handler(jobs: DataFrame, kinds: list[str], now: int) -> DataFrame:
     """Running jobs of a kind that nobody handles fail at once, attempts left or not."""
     lost = (F.col("state") == "running") & ~F.col("kind").isin(*kinds)
-    return update(jobs, lost, _freed(state=F.lit("failed"), last_error=F.concat(F.lit("no handler registered for job kind "), "kind"), finished_at=F.lit(now), updated_at=F.lit(now)))
+    return update(jobs, lost, _freed(state=F.lit("failed"), last_error=F.concat(F.lit(NO_HANDLER), "kind"), finished_at=F.lit(now), updated_at=F.lit(now)))
 
 
 def finish_attempts(jobs: DataFrame, ids, error: str, now: int) -> DataFrame:
-    """Failed attempts: back to the queue after the back-off, or failed once attempts are used up."""
-    from ..functions.scalars import backoff_ms
+    """Failed attempts: back to the queue after the back-off (less a jitter that the id seeds), or failed once attempts are used up."""
+    from ..functions.scalars import retry_delay_ms
 
     again = F.col("attempts") < F.col("max_attempts")
     spent = fail(jobs, ids & ~again, error, now)
-    wait = F.lit(now) + backoff_ms(F.col("attempts"))
+    wait = F.lit(now) + retry_delay_ms("attempts", "id")
     return update(spent, ids & (F.col("state") == "running") & again, _freed(state=F.lit("queued"), last_error=F.lit(error), run_after=wait, updated_at=F.lit(now)))
 
 

@@ -28,6 +28,17 @@ def affected(rows: DataFrame, condition: Column | str) -> DataFrame:
     return rows.where(holds(condition)).agg(F.count(F.lit(1)).alias("affected"))
 
 
-def insert_new(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """rows and those of ``new`` whose key none has; of new ones with one key, the given order decides before."""
-    return rows.unionByName(new.join(rows.select(key), key, "left_anti"))
+def first_of(new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row per key, the first by ``order``; rows with a null key never collide. Aggregates partially, so a frequent key is no hot spot."""
+    chosen = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_row")).select("_row.*")
+    return chosen.unionByName(new.where(F.col(key).isNull()))
+
+
+def inserted(rows: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """What INSERT ... RETURNING gives: those of ``new`` whose key no row has; of new ones with one key, the first by ``order``."""
+    return first_of(new, key, order).join(rows.select(key), key, "left_anti").select(*rows.columns)
+
+
+def insert_new(rows: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows and the new ones that ``inserted`` gives."""
+    return rows.unionByName(inserted(rows, new, key, order))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import ROLES, STATES
+from ..schemas import RELATIONS, ROLES, STATES, conform
 
 
 def broken(rows: DataFrame, key: str, name: str, good: Column) -> DataFrame:
@@ -43,3 +43,13 @@ def violations(users: DataFrame, sessions: DataFrame, blobs: DataFrame, jobs: Da
         duplicated(jobs, ["dedupe_key"], "jobs.dedupe_key", F.col("state").isin("queued", "running")),
     ]
     return reduce(DataFrame.unionByName, found).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def null_counts(relations: dict[str, DataFrame]) -> DataFrame:
+    """(relation, rows, nulls): rows of each relation, brought to its schema, and those with a null where none may be."""
+
+    def one(name: str, rows: DataFrame) -> DataFrame:
+        needed = [F.col(f.name).isNull() for f in RELATIONS[name] if not f.nullable]
+        return conform(rows, name).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(reduce(Column.__or__, needed), 1)).alias("nulls")).select(F.lit(name).alias("relation"), "rows", "nulls")
+
+    return reduce(DataFrame.unionByName, [one(name, rows) for name, rows in relations.items()])

@@ -29,3 +29,16 @@ MAX_ATTEMPTS = 3
 LIST_DEFAULT, LIST_MOST = 50, 500
 SESSION_MS, TOUCH_MS = 7 * 86_400_000, 86_400_000
 LEASE_MS = 900_000
+
+RELATIONS = {"users": USERS, "sessions": SESSIONS, "settings": SETTINGS, "blobs": BLOBS, "jobs": JOBS}
+
+
+def conform(rows, relation: str):
+    """rows with the columns of a relation, in its order and types; raises where a column is missing or of another kind."""
+    schema = RELATIONS[relation]
+    if missing := [f.name for f in schema if f.name not in rows.columns]:
+        raise ValueError(f"{relation} lacks {', '.join(missing)}")
+    wrong = [f.name for f in schema if isinstance(f.dataType, T.NumericType) != isinstance(rows.schema[f.name].dataType, T.NumericType) or isinstance(f.dataType, T.BinaryType) != isinstance(rows.schema[f.name].dataType, T.BinaryType)]
+    if wrong:
+        raise ValueError(f"{relation} has other types in {', '.join(wrong)}")
+    return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in schema])

@@ -100,7 +100,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str, per: int = 16) -> DataFrame:
-    """A manifest of sections of ``per`` pages that leaves the first six pages out."""
+    """Manifests of ten sections each, of ``per`` pages; the first six pages are left out."""
     return scan(spark, sf_dir, "documents").where("doc_id >= 6").groupBy(F.floor((F.col("doc_id") - 6) / per).alias("no")).agg(F.min("doc_id").alias("pdf_start"), F.max("doc_id").alias("pdf_end")).selectExpr(
-        "concat('S', no) as code", "pdf_start", "pdf_end", "pdf_end - pdf_start + 1 as pages", "pdf_start - 6 - (no % 3) as printed_page"
+        "concat('m', floor(no / 10)) as document", "concat('S', no) as code", "pdf_start", "pdf_end", "pdf_end - pdf_start + 1 as pages", "pdf_start - 6 - (no % 3) as printed_page"
     )

@@ -8,7 +8,7 @@ import pytest
 from larkstead.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents part".split()
 
 
 @pytest.fixture(scope="module")

@@ -39,6 +39,8 @@ def test_ids(spark):
     for ms in (0, 1, 1_700_000_000_123, 2**48 - 1):
         made = value(spark, F.concat(F.lit("job_"), fn.encode_time("m"), F.lit("0" * 16)), m=ms)
         assert value(spark, fn.id_time("i"), i=made) == ms and value(spark, fn.valid_id("i", "job"), i=made) and not value(spark, fn.valid_id("i", "doc"), i=made)
+    ulid = "01HZZZZZZZ" + "0" * 16
+    assert value(spark, fn.valid_id("i", "doc"), i="doc_" + ulid.lower()) and not value(spark, fn.valid_id("i", "doc"), i="DOC_" + ulid)
     for bad in ("job", "job_1", "job_" + "U" * 26, "job_8" + "0" * 25):
         assert not value(spark, fn.valid_id("i"), i=bad) and value(spark, fn.id_time("i"), i=bad) is None
 
@@ -57,11 +59,13 @@ def test_text_scalars(spark):
     assert value(spark, fn.redact("s"), s="") == "" and value(spark, fn.redact("s"), s="x") == "********"
     assert value(spark, fn.same_origin("o", "h"), o="http://H.example:7745", h="h.example:7745") and not value(spark, fn.same_origin("o", "h"), o="http://h.example", h="h.example:1")
     assert value(spark, fn.ordered_set(F.split("s", ",")), s="de,de,en, uk ,") == ["de", "en", "uk"]
-    assert value(spark, fn.ocr_codes(F.split("s", ",")), s="de-AT,zh-Hant,xx-nonsense,en") == ["deu", "chi_sim", "eng"]
+    assert value(spark, fn.ocr_codes(F.split("s", ",")), s="de-AT,zh-Hant,xx-nonsense,hu,ro,en,bogus-tag,de-,gsw-CH,deu") == ["deu", "chi_sim", "hun", "ron", "eng"]
     assert value(spark, fn.data_route("k", "w"), k="receipt", w="cloud") == "local" and value(spark, fn.data_route("k", "w"), k="manual", w="cloud") == "cloud"
     assert value(spark, fn.problems(a=(F.lit(False), "bad"), b=(F.lit(True), "x"), c=(F.lit(None).cast("boolean"), "odd"))) == ["a: bad", "c: odd"]
     assert value(spark, fn.payload(None)) == "{}"
     assert 0 <= value(spark, fn.jitter_ms("d", "s"), d=5000, s=3) < 1250
+    delays = {value(spark, fn.retry_delay_ms("n", "s"), n=2, s=i) for i in range(8)}
+    assert all(7500 < d <= 10000 for d in delays) and len(delays) > 4
 
 
 def test_search(spark):

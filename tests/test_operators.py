@@ -94,9 +94,14 @@ def test_usage_adds_up(spark):
 
 def test_limits_and_states_are_checked(spark):
     q = table(spark, [job(1)])
-    for limit in (0, 501, "abc"):
+    for limit in (501, "abc"):
         with pytest.raises(ValueError):
             jobs.recent(q, limit)
+    for limit in (0, -1, 501, "abc"):
+        with pytest.raises(ValueError):
+            jobs.check_limit(limit)
+    many = table(spark, [job(i) for i in range(60)])
+    assert jobs.recent(many, 0).count() == jobs.recent(many, -3).count() == 50
     with pytest.raises(ValueError):
         jobs.recent(q, 5, "nonsense")
 
@@ -138,6 +143,34 @@ def test_folded_address_is_unique(spark):
     u = spark.createDataFrame([(1, "A@x", "a@x", "", "", "admin", 0, 0, None)], schemas.USERS)
     new = spark.createDataFrame([(2, "a@X", "a@x", "", "", "admin", 0, 0, None), (3, "b@x", "b@x", "", "", "admin", 0, 0, None)], schemas.USERS)
     assert {r["id"] for r in accounts.create_user(u, new).collect()} == {1, 3}
+    twice = new.union(new.withColumn("id", F.col("id") + 10)).repartition(3)
+    assert {r["id"] for r in accounts.create_user(u, twice).collect()} == {1, 3}
+    assert [r["id"] for r in accounts.created_users(u, twice).collect()] == [3]
+
+
+def test_new_blobs_of_one_digest_count_once(spark):
+    old = spark.createDataFrame([("a", 1, "x", 5)], schemas.BLOBS)
+    new = spark.createDataFrame([("a", 1, "y", 6), ("b", 2, "late", 9), ("b", 2, "first", 7)], schemas.BLOBS)
+    assert {(r["sha256"], r["media_type"]) for r in content.upsert_blob(old, new).collect()} == {("a", "x"), ("b", "first")}
+
+
+def test_lists_are_in_order(spark):
+    q = table(spark, [job(1, priority=1, created_at=5), job(2, priority=9), job(3, priority=1, created_at=4), job(4, priority=9)])
+    assert [r["id"] for r in jobs.active(q).collect()] == [2, 4, 3, 1]
+    s = spark.createDataFrame([(1, 7, b"a", "", "", 0, 3, 0), (2, 7, b"b", "", "", 0, 9, 0), (3, 7, b"c", "", "", 0, 9, 0)], schemas.SESSIONS)
+    assert [r["id"] for r in accounts.list_sessions(s, 7).collect()] == [2, 3, 1]
+    u = spark.createDataFrame([(i, str(i), str(i), "", "", "admin", c, 0, None) for i, c in ((1, 9), (3, 2), (2, 2))], schemas.USERS)
+    assert [r["id"] for r in accounts.list_users(u).collect()] == [2, 3, 1]
+    k = spark.createDataFrame([("b", "1", 0), ("a", "2", 0)], schemas.SETTINGS)
+    assert [r["key"] for r in content.list_settings(k).collect()] == ["a", "b"]
+
+
+def test_relations_are_checked_against_their_schema(spark):
+    users = spark.createDataFrame([(1, "A@x", "a@x", "", "", "admin", 0, 0, None), (2, "B@x", None, "", "", "admin", 0, 0, None)], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.USERS))
+    assert [tuple(r) for r in validate.null_counts({"users": users}).collect()] == [("users", 2, 1)]
+    for wrong in (users.drop("role"), users.withColumn("id", F.lit("x"))):
+        with pytest.raises(ValueError):
+            schemas.conform(wrong, "users")
 
 
 def test_empty_blobs_total_zero(spark):
@@ -152,9 +185,11 @@ def test_settings_last_writer_and_blobs_first_writer(spark):
 
 
 def test_sections(spark):
-    s = spark.createDataFrame([("A", 7, 10, 4), ("B", 12, 14, 2), ("B", 14, 30, 17)], "code string, pdf_start long, pdf_end long, pages long")
-    found = {tuple(r) for r in documents.section_problems(s, 20).collect()}
-    assert found == {("B", "gap"), ("B", "length"), ("B", "overlap"), ("B", "range"), ("B", "duplicate")}
+    rows = [("x", "A", 7, 10, 4), ("x", "B", 12, 14, 2), ("x", "B", 14, 30, 17), ("y", "A", 1, 10, 10), ("z", "A", 0, 10, 11)]
+    s = spark.createDataFrame(rows, "doc string, code string, pdf_start long, pdf_end long, pages long")
+    found = {tuple(r) for r in documents.section_problems(s, 20, "doc").collect()}
+    assert found == {("x", "B", "gap"), ("x", "B", "length"), ("x", "B", "overlap"), ("x", "B", "range"), ("x", "B", "duplicate"), ("z", "A", "range")}
+    s = s.where("doc = 'x'")
     pages = spark.range(5, 9).select(F.col("id").alias("page"))
     assert {tuple(r) for r in documents.page_sections(pages, s).collect()} == {(5, None), (6, None), (7, "A"), (8, "A")}
     assert {tuple(r) for r in documents.page_sections(pages, s, most=0).collect()} == {(5, None), (6, None), (7, "A"), (8, "A")}
