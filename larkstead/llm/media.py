@@ -14,6 +14,7 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +42,8 @@ RIFF_FORMS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}
 UNKNOWN = "application/octet-stream"
 #: Samples per second that stored payloads declare.
 RATE = 8000
+#: Bytes that are inflated at once.
+STEP = 1 << 16
 #: Payloads are padded to a positive multiple of this.
 BLOCK = 64
 
@@ -149,29 +152,61 @@ def _bmp(data: bytes, at: int):
 
 
 def _pdf(data: bytes, at: int):
+    """Up to the last end mark before the next header: an updated file has several."""
     if not re.match(rb"%PDF-\d\.\d", data[at : at + 8]):
         return None
-    end, start = data.find(b"%%EOF", at), data.find(b"startxref", at)
-    return ("application/pdf", end + 5 - at) if 0 <= start < end else None
+    limit = _next(data, b"%PDF-", at + 1)
+    end = _last(data, b"%%EOF", limit)
+    start = _last(data, b"startxref", end) if end >= 0 else -1
+    return ("application/pdf", end + 5 - at) if at < start < end else None
 
 
 def _zip(data: bytes, at: int):
-    end = data.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(data):
-        size, offset, note = struct.unpack_from("<IIH", data, end + 12)
-        if at + offset + size == end and end + 22 + note <= len(data):
-            return "application/zip", end + 22 + note - at
-        end = data.find(b"PK\x05\x06", end + 1)
+    for end in _marks(data, b"PK\x05\x06", at):
+        if end + 22 <= len(data):
+            size, offset, note = struct.unpack_from("<IIH", data, end + 12)
+            if at + offset + size == end and end + 22 + note <= len(data):
+                return "application/zip", end + 22 + note - at
     return None
 
 
 def _gzip(data: bytes, at: int):
-    d = zlib.decompressobj(31)
+    """Inflated in steps, none of which is kept: memory doesn't follow what a stream claims to hold."""
+    d, view, place = zlib.decompressobj(31), memoryview(data), at
     try:
-        d.decompress(data[at:])
+        while not d.eof:
+            if not d.unconsumed_tail:
+                part, place = view[place : place + STEP], place + STEP
+            else:
+                part = d.unconsumed_tail
+            if not d.decompress(part, STEP) and not part:
+                return None
     except zlib.error:
         return None
-    return ("application/gzip", len(data) - at - len(d.unused_data)) if d.eof else None
+    return "application/gzip", min(place, len(data)) - at - len(d.unused_data)
+
+
+@lru_cache(maxsize=4)
+def _places(data: bytes, mark: bytes) -> list[int]:
+    """All places of a mark, found once for a medium."""
+    return [m.start() for m in re.finditer(re.escape(mark), data)]
+
+
+def _marks(data: bytes, mark: bytes, at: int) -> list[int]:
+    found = _places(data, mark)
+    return found[bisect_left(found, at) :]
+
+
+def _next(data: bytes, mark: bytes, at: int) -> int:
+    found = _places(data, mark)
+    i = bisect_left(found, at)
+    return found[i] if i < len(found) else len(data)
+
+
+def _last(data: bytes, mark: bytes, before: int) -> int:
+    found = _places(data, mark)
+    i = bisect_left(found, before)
+    return found[i - 1] if i else -1
 
 
 def _midi(data: bytes, at: int):

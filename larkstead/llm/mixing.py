@@ -3,7 +3,8 @@
 Each source's share of a budget follows its weight, up to a number of repeats of all its words;
 the excess goes to the others by weight. A source takes all its documents as often as the target
 allows, then, for what remains, documents chosen by length: an even share of the documents of each
-length, then a bounded-knapsack program over the leftover counts that fits the last words.
+length (what rounding leaves goes on to the next shorter one), then a few of the shortest are given
+back and a bounded-knapsack program over the leftover counts fits the last words.
 Documents of equal length are told apart by a seeded hash, so reruns agree.
 
 Null sources are a source of their own, sorted last; null texts have size 0; documents of size 0
@@ -25,8 +26,8 @@ from .common import rank_in_groups
 WEIGHTS = (5, 2, 1)
 #: Times a source's words may repeat.
 MAX_REPEATS = 3
-#: Words that the knapsack program fits at most; the rest of a budget is filled before it.
-WINDOW = 1 << 16
+#: Documents taken, the shortest, that are given back for the knapsack program to choose from.
+GIVEN_BACK = 16
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> list[Fraction]:
@@ -74,21 +75,27 @@ def subset_sum(lengths: list[int], counts: list[int], budget: int) -> dict[int,
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come near the budget."""
     total = int(lengths @ counts)
     if not 0 < budget < total:
         return counts * (budget >= total)
-    taken = np.array([int(c) * budget // total for c in counts], np.int64)
-    left = budget - int(lengths @ taken)
-    for i in np.argsort(-lengths, kind="stable"):
-        if lengths[i] and left > window:
-            more = min(int(counts[i] - taken[i]), (left - window) // int(lengths[i]))
-            taken[i] += more
-            left -= more * int(lengths[i])
-    # What still exceeds the window by less than one document is given up by the shortest documents taken.
-    spare = counts - taken
-    use = [i for i in range(len(lengths)) if 0 < lengths[i] <= left and spare[i]]
+    taken = np.zeros(len(lengths), np.int64)
+    order = [i for i in np.argsort(-lengths, kind="stable").tolist() if lengths[i] > 0]
+    passed = used = 0
+    for i in order:
+        n, c = int(lengths[i]), int(counts[i])
+        passed += n * c
+        taken[i] = min(c, (passed * budget // total - used) // n)
+        used += n * int(taken[i])
+    give = GIVEN_BACK
+    for i in reversed(order):
+        back = min(give, int(taken[i]))
+        taken[i] -= back
+        used -= back * int(lengths[i])
+        give -= back
+    left, spare = budget - used, counts - taken
+    use = [i for i in order if lengths[i] <= left and spare[i]]
     for n, c in subset_sum([int(lengths[i]) for i in use], [int(spare[i]) for i in use], left).items():
         taken[np.flatnonzero(lengths == n)[0]] += c
     return taken

@@ -7,7 +7,9 @@ The score is the logistic of strength minus threshold, so 0.5 is the threshold.
 
 Only the fit uses a sample: at most ``SAMPLE_ROWS`` labelled rows. Every row is scored from its
 own text: no shuffle. Null texts are empty and get a score; repeated rows and ids get a row each;
-an empty table gives no rows, no usable labels a score of 0.5 (predicted 1) everywhere.
+an empty table gives no rows. Where all usable labels are one class, every score is that class's
+share, smoothed (below 0.5 for 0, above for 1); without usable labels it is 0.5. A column named as
+the score is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, slices, texts_of
+from .common import map_batches, others, slices, texts_of
 from .labelled import sample
 
 #: Labelled rows that the fit uses at most, and preference pairs drawn from them.
@@ -70,6 +72,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE,
     mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(16), np.ones(16))
     model = Model(mean, scale, np.zeros(len(mean)), 0.0)
     if not len(good) or not len(bad):
+        model.threshold = float(np.log((len(bad) + 0.5) / (len(good) + 0.5)))
         return model
     rng = np.random.default_rng(seed)
     z = ((x - mean) / scale).clip(-8, 8)
@@ -112,6 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_column: str
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "score") -> DataFrame:
     """docs, all columns as they are, with a score column."""
+    docs = others(docs, score_column)
     names = [*docs.columns, score_column]
     at = docs.columns.index(text_column)
 

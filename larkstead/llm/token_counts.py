@@ -6,7 +6,8 @@ a word's first has the vocabulary's word mark U+2581 in front. A piece of id i s
 UTF-8 bytes, one token each, at a score below any piece. A pre-token's count is the number of
 tokens of its best-scoring segmentation, ties to fewer tokens. Distinct pre-tokens go into a trie:
 the forward score of a prefix is computed once and shared by all pre-tokens that start with it,
-and the node where one ends holds its count.
+and the node where one ends holds its count. Beyond SHARED characters a pre-token's prefixes are
+hardly shared: they are scored on, in a window as long as the longest piece, without nodes.
 
 Each task needs only its own rows: no shuffle. Null and empty texts have 0 tokens; repeated rows
 and repeated ids give a row each; only the id and text columns are read, whatever others hold.
@@ -27,6 +28,8 @@ from .common import Memo, map_batches, slices, texts_of
 
 #: Trie nodes a worker keeps before it starts a new trie (results don't depend on it).
 MAX_NODES = 600_000
+#: Characters of a pre-token that get nodes.
+SHARED = 64
 #: Score of one fallback byte.
 BYTE_SCORE = -30.0
 MARK = "▁"
@@ -48,6 +51,7 @@ class Trie:
 
     def __init__(self, pieces: dict[str, float]):
         #: Every ending of a piece, with the piece's score, or None for an ending that is no piece.
+        self.longest = max(map(len, pieces), default=1)
         self.endings = {piece[k:]: None for piece in pieces for k in range(len(piece))} | pieces
         self.clear()
 
@@ -60,7 +64,7 @@ class Trie:
             self.clear()
         node = self.root
         path = [node]
-        for i, char in enumerate(token, 1):
+        for i, char in enumerate(token[:SHARED], 1):
             if node[2] is None:
                 node[2] = {}
             after = node[2].get(char)
@@ -69,9 +73,16 @@ class Trie:
                 self.nodes += 1
             path.append(after)
             node = after
+        for i in range(SHARED + 1, len(token) + 1):
+            gone = max(0, len(path) - self.longest - 1)
+            start = i - len(path) + gone
+            del path[:gone]
+            node = self._forward(token[start:i], i - start, path)
+            path.append(node)
         return node[1]
 
     def _forward(self, token: str, i: int, path: list) -> list:
+        """The node of the first i characters; path has those of 0 to i - 1."""
         best, tokens = -math.inf, 0
         for start in range(i - 1, -1, -1):
             piece = token[start:i]
