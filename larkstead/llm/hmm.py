@@ -6,10 +6,11 @@ gives a token the probability of its class in the hidden states, times its share
 (c + 0.1) / (n + 0.1 * (v + 1)) with the class's n tokens of v words. The base is the same over all
 words as one class.
 
-Counts cover all training texts. Baum-Welch counts are made per partition, over stretches of
-``SEGMENT`` tokens, and added up; a bounded sample of ``SEED_ROWS`` texts gives only the starting
-point. Scoring is the exact scaled forward recursion over whole texts. Counts of the ``HEAD`` most
-frequent words, a fixed number, go to all executors; those of all other words are joined.
+Texts are turned into classes once (``encode``). Baum-Welch counts are made per partition over whole
+texts, from first to last token, and added up; a bounded sample of ``SEED_ROWS`` texts gives only
+the starting point. Scoring is the exact scaled forward recursion over whole texts. Counts of the
+``HEAD`` most frequent words, a fixed number (those of one frequency chosen by hash), go to all
+executors; those of all other words are joined.
 
 Null texts are empty (one end). Repeated rows and ids give a row each; without training rows all
 tokens are unknown; an empty table gives no rows. Only the named columns are read.
@@ -34,13 +35,15 @@ from .common import Memo, discard, map_batches, saved, slices, texts_of, words_o
 HEAD, OWN, SHARED = 1 << 16, 2048, 64
 END = OWN + SHARED
 CLASSES = END + 1
-STATES, PASSES, SEGMENT, STRIP = 8, 2, 128, 256
-SEED_ROWS, SEED_PASSES = 300, 20
+STATES, PASSES = 8, 2
+#: Texts, and tokens of them, that give the starting point at most.
+SEED_ROWS, SEED_TOKENS, SEED_PASSES = 300, 150_000, 20
+#: Tokens from which a text counts as long; tokens of short and of long texts that a task takes up at once (results don't depend on it).
+LONG, TOKENS, LONG_TOKENS = 2048, 1 << 18, 1 << 20
 #: Different words that a task counts before it hands them on.
 FLUSH = 200_000
 #: Expected counts are added up as whole multiples of 2**-20, so sums don't depend on their order.
 UNIT = 1 << 20
-SCORE_BYTES = 4 << 20
 
 
 def shared_class(word: bytes) -> int:
@@ -87,21 +90,36 @@ def count_words(texts: DataFrame) -> DataFrame:
     return map_batches(texts, f, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The ``most`` most frequent words with their counts, by frequency.
+
+    A histogram of counts tells which of its classes go in whole; of the next one, words are chosen
+    by hash. So hardly more than ``most`` words reach the driver.
+    """
+    size = F.floor(F.log2("n") * 16)
+    place = F.pmod(F.xxhash64(F.lit(29), "w"), F.lit(1 << 32))
+    chosen, held = F.lit(False), 0
+    for r in sorted(counts.groupBy(size.alias("k")).count().collect(), reverse=True):
+        left = most - held
+        if r["count"] <= left:
+            chosen, held = size >= r["k"], held + r["count"]
+            continue
+        share = min(1.0, (left + 8 * left**0.5 + 8) / r["count"])
+        if left:
+            chosen = chosen | ((size == r["k"]) & (place < int(share * (1 << 32))))
+        break
+    rows = counts.where(chosen).select("w", "n", size.alias("k"), place.alias("p")).collect()
+    least = min((r["k"] for r in rows), default=0)
+    rows = sorted(rows, key=lambda r: (r["k"] == least, r["p"] if r["k"] == least else 0, bytes(r["w"])))[:most]
+    return {bytes(r["w"]): r["n"] for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["w"])))}
+
+
 def vocabulary(texts: DataFrame) -> Vocabulary:
     """Counts over training texts, column t."""
-    counts = saved(count_words(texts))
+    counts = saved(count_words(texts.select("t")))
     n, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     rows = texts.count()
-    # The frequent words: those above a bound on counts, taken from a histogram, that at most HEAD words reach.
-    size = F.floor(F.log2("n") * 16)
-    least, held = None, 0
-    for r in sorted(counts.groupBy(size.alias("k")).count().collect(), reverse=True):
-        held += r["count"]
-        if held > HEAD:
-            break
-        least = r["k"]
-    frequent = counts.where(size >= least).collect() if least is not None else []
-    head = {bytes(r["w"]): r["n"] for r in sorted(frequent, key=lambda r: (-r["n"], bytes(r["w"])))}
+    head = frequent(counts, HEAD)
     own = set(list(head)[:OWN])
 
     def classed(batches):
@@ -137,78 +155,157 @@ class Hmm:
         return cls.from_counts(flat)
 
 
-def expected(model: Hmm, obs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts (start, moves, emissions) of sequences, rows of obs of these lengths."""
-    n, t_max = obs.shape
-    e = model.emit[obs.T]
-    live = np.arange(t_max)[:, None] < lengths[None]
-    alpha, scale = np.empty((t_max, n, STATES)), np.ones((t_max, n))
-    a = model.start * e[0]
-    for t in range(t_max):
-        if t:
-            a = np.where(live[t][:, None], (a @ model.move) * e[t], a)
-        scale[t] = a.sum(1)
-        a = a / scale[t][:, None]
-        alpha[t] = a
-    beta = np.ones((t_max, n, STATES))
-    b = beta[-1]
-    for t in range(t_max - 2, -1, -1):
-        b = np.where(live[t + 1][:, None], ((e[t + 1] * b) @ model.move.T) / scale[t + 1][:, None], 1.0)
-        beta[t] = b
-    gamma = alpha * beta
-    gamma *= (live / gamma.sum(2))[:, :, None]
-    ahead = (e[1:] * beta[1:] / scale[1:, :, None] * live[1:, :, None]).reshape(-1, STATES)
-    move = alpha[:-1].reshape(-1, STATES).T @ ahead * model.move
-    flat = obs.T.ravel()
-    emit = np.stack([np.bincount(flat, gamma[:, :, k].ravel(), CLASSES) for k in range(STATES)], 1)
-    return np.concatenate([gamma[0].sum(0), move.ravel(), emit.ravel()])
-
-
-def segments(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences cut every SEGMENT tokens, as padded rows sorted by length, and their lengths."""
-    parts = sorted((c[at : at + SEGMENT] for c in classes for at in range(0, len(c), SEGMENT)), key=len)
-    lengths = np.array([len(p) for p in parts])
-    out = np.zeros((len(parts), SEGMENT), np.int64)
-    out[np.arange(SEGMENT)[None] < lengths[:, None]] = np.concatenate(parts) if parts else []
-    return out, lengths
+def expected(model: Hmm, classes: list[np.ndarray]) -> np.ndarray:
+    """Baum-Welch counts (start, moves, emissions) of whole sequences of classes.
+
+    All sequences take a step at once, longest first, so those that go on are a prefix. What is kept
+    is one row of forward probabilities for each token.
+    """
+    total = np.zeros(STATES + STATES**2 + STATES * CLASSES)
+    if not classes:
+        return total
+    classes = sorted(classes, key=len, reverse=True)
+    lengths = np.array([len(c) for c in classes])
+    live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+    first = np.concatenate([[0], np.cumsum(live)])
+    # Tokens by step, then by sequence.
+    step = np.concatenate([np.arange(n) for n in lengths])
+    obs = np.empty(first[-1], np.int64)
+    obs[first[step] + np.repeat(np.arange(len(classes)), lengths)] = np.concatenate(classes)
+    alpha, scale = np.empty((len(obs), STATES)), np.empty((len(obs), 1))
+    ends = first.tolist()
+    a = None
+    for t, n in enumerate(live.tolist()):
+        i, j = ends[t], ends[t + 1]
+        a = (model.start if a is None else a[:n] @ model.move) * model.emit[obs[i:j]]
+        c = a.sum(1, keepdims=True)
+        a /= c
+        alpha[i:j], scale[i:j] = a, c
+    move, back, x = np.zeros((STATES, STATES)), model.move.T.copy(), None
+    for t in range(len(live) - 1, -1, -1):
+        i, j = ends[t], ends[t + 1]
+        own = alpha[i:j]
+        beta = np.ones_like(own)
+        if x is not None:
+            beta[: len(x)] = x @ back
+            move += own[: len(x)].T @ x
+        x = model.emit[obs[i:j]] * beta / scale[i:j]
+        own *= beta
+    emit = np.stack([np.bincount(obs, alpha[:, k], CLASSES) for k in range(STATES)], 1)
+    return np.concatenate([alpha[: live[0]].sum(0), (move * model.move).ravel(), emit.ravel()])
+
+
+class Gathered:
+    """Sequences that wait until there are enough of their kind: many short ones, or long ones, which take many steps."""
+
+    def __init__(self, model: Hmm):
+        self.model, self.total = model, np.zeros(STATES + STATES**2 + STATES * CLASSES)
+        self.waiting: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        self.tokens = {False: 0, True: 0}
+
+    def add(self, sequence: np.ndarray) -> None:
+        long = len(sequence) >= LONG
+        self.waiting[long].append(sequence)
+        self.tokens[long] += len(sequence)
+        if self.tokens[long] >= (LONG_TOKENS if long else TOKENS):
+            self.flush(long)
+
+    def flush(self, long: bool) -> None:
+        self.total += expected(self.model, self.waiting[long])
+        self.waiting[long], self.tokens[long] = [], 0
+
+    def counts(self) -> np.ndarray:
+        self.flush(False)
+        self.flush(True)
+        return self.total
 
 
 def all_expected(model: Hmm, classes: list[np.ndarray]) -> np.ndarray:
-    obs, lengths = segments(classes)
-    total = np.zeros(STATES + STATES**2 + STATES * CLASSES)
-    for at in range(0, len(obs), STRIP):
-        own = lengths[at : at + STRIP]
-        total += expected(model, obs[at : at + STRIP, : own.max()], own)
-    return total
+    gathered = Gathered(model)
+    for c in classes:
+        gathered.add(c)
+    return gathered.counts()
 
 
 def class_ids(texts: list[bytes], memo: Memo) -> list[np.ndarray]:
-    return [np.array((*memo.many(words_of(t)), END), np.int64) for t in texts]
-
-
-def train(texts: DataFrame, words: Vocabulary, passes: int = PASSES) -> Hmm:
-    """The model from training texts, columns t and i (the id)."""
-    memo = words.memo()
-    # Ids choose the sample, so that only its own texts travel.
-    place = F.xxhash64(F.lit(23), "i")
-    last = texts.select(place.alias("h")).orderBy("h").limit(SEED_ROWS).agg(F.max("h")).first()[0]
-    chosen = texts.where(place <= last).limit(2 * SEED_ROWS).collect() if last is not None else []
-    seed = class_ids([(r["t"] or "").encode() for r in sorted(chosen, key=lambda r: (str(r["i"]), r["t"] or ""))], memo)
-    model = Hmm.random(np.bincount(np.concatenate(seed), minlength=CLASSES).astype(float) + 0.01 if seed else np.ones(CLASSES))
-    for _ in range(SEED_PASSES if seed else 0):
-        model = Hmm.from_counts(all_expected(model, seed))
+    return [np.array((*memo.many(words_of(t)), END), "<u2") for t in texts]
+
+
+def encode(docs: DataFrame, words: Vocabulary, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row a text: i (id), held_out, u (a hash of the row), n_tokens, ids (classes, two bytes each), and for its score by words:
+    known, base and mine (sums over frequent words), rare (tokens of others), words and times (the others)."""
+    kept = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t"), held_out.alias("held_out"), F.xxhash64(id_column, text_column).alias("u"))
+    schema = T.StructType([
+        kept.schema["i"], T.StructField("held_out", T.BooleanType()), *(T.StructField(n, t) for n, t in (
+            ("u", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("known", T.LongType()), ("base", T.DoubleType()), ("mine", T.DoubleType()), ("rare", T.LongType()),
+            ("words", T.ArrayType(T.BinaryType())), ("times", T.ArrayType(T.IntegerType())))),
+    ])
+    below = log10(words.tokens + 0.1 * (words.words + 1))
+    end = log10(words.texts + 0.1)
+
+    def f(batches):
+        memo = words.memo()
+        # Log10 of a frequent word's c + 0.1, and what the model's share of its class adds.
+        known = {w: (log10(c + 0.1), 0.0 if w in words.classes else log10(c + 0.1) - words.below[shared_class(w) - OWN]) for w, c in words.head.items()}
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            for a, b in slices([len(x) for x in texts]):
+                rows = []
+                for text in texts[a:b]:
+                    own = words_of(text)
+                    ids = np.array((*memo.many(own), END), "<u2")
+                    base, mine, n_known, rare = end - below, 0.0, int(words.texts > 0), {}
+                    for w, m in Counter(own).items():
+                        x = known.get(w)
+                        if x is None:
+                            rare[w] = m
+                            base -= m * below
+                            mine -= m * words.below[shared_class(w) - OWN]
+                        else:
+                            base += m * (x[0] - below)
+                            mine += m * x[1]
+                            n_known += m
+                    rows.append((len(own) + 1, ids.tobytes(), n_known, base, mine, sum(rare.values()), list(rare), list(rare.values())))
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(j).slice(a, b - a) for j in (0, 2, 3)] + columns, names=[x.name for x in schema])
+
+    return map_batches(kept, f, schema)
+
+
+def sequences(column: pa.BinaryArray) -> list[np.ndarray]:
+    """Classes of each text of an ``ids`` column."""
+    return [np.frombuffer(x.as_buffer(), "<u2") for x in column]
+
+
+def train(encoded: DataFrame, passes: int = PASSES) -> Hmm:
+    """The model from encoded training texts; ``encoded`` is read several times: give a saved table."""
+    # Hashes of rows choose the sample; equal rows have one hash and count once.
+    place = F.xxhash64(F.lit(23), "u")
+    seed, tokens = {}, 0
+    for r in encoded.groupBy(place.alias("p")).agg(F.max("n_tokens").alias("n")).orderBy("p").limit(SEED_ROWS).collect():
+        if tokens + r["n"] <= SEED_TOKENS:
+            seed[r["p"]], tokens = None, tokens + r["n"]
+    if seed:
+        last = max(seed)
+        for r in encoded.where(place <= last).groupBy(place.alias("p")).agg(F.min(F.when(place.isin(*seed), F.col("ids"))).alias("ids")).where("ids is not null").collect():
+            seed[r["p"]] = np.frombuffer(bytes(r["ids"]), "<u2")
+    start = [x for _, x in sorted(seed.items())]
+    model = Hmm.random(np.bincount(np.concatenate(start), minlength=CLASSES).astype(float) + 0.01 if start else np.ones(CLASSES))
+    for _ in range(SEED_PASSES if start else 0):
+        model = Hmm.from_counts(all_expected(model, start))
     for _ in range(passes):
 
         def count(batches, model=model):
-            memo, total = words.memo(), np.zeros(STATES + STATES**2 + STATES * CLASSES)
+            gathered = Gathered(model)
             for batch in batches:
-                own = texts_of(batch.column(0))
-                for a, b in slices([len(x) for x in own]):
-                    total += all_expected(model, class_ids(own[a:b], memo))
+                for own in sequences(batch.column(0)):
+                    gathered.add(own.copy())
+            total = gathered.counts()
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.rint(total[at] * UNIT).astype(np.int64))], names=["k", "n"])
 
-        rows = map_batches(texts.select("t"), count, "k long, n long").groupBy("k").agg(F.sum(F.col("n").cast("decimal(38,0)")).cast("double").alias("n")).toPandas()
+        rows = map_batches(encoded.select("ids"), count, "k long, n long").groupBy("k").agg(F.sum(F.col("n").cast("decimal(38,0)")).cast("double").alias("n")).toPandas()
         flat = np.zeros(STATES + STATES**2 + STATES * CLASSES)
         flat[rows["k"].to_numpy(np.int64)] = rows["n"].to_numpy(float) / UNIT
         model = Hmm.from_counts(flat)
@@ -217,6 +314,8 @@ def train(texts: DataFrame, words: Vocabulary, passes: int = PASSES) -> Hmm:
 
 def forward(model: Hmm, classes: list[np.ndarray]) -> np.ndarray:
     """Log10 likelihood of each sequence of classes: scaled forward recursion, longest first."""
+    if not classes:
+        return np.empty(0)
     lengths = np.array([len(c) for c in classes])
     order = np.argsort(-lengths, kind="stable")
     flat, starts = np.concatenate([classes[i] for i in order]), np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
@@ -233,60 +332,29 @@ def forward(model: Hmm, classes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, words: Vocabulary, model: Hmm, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    kept = docs.select(F.col(id_column), F.col(text_column).alias("_t"), held_out.alias("held_out"), F.xxhash64(id_column, text_column).alias("_u"))
-    schema = T.StructType([
-        kept.schema[0], kept.schema[2], *(T.StructField(n, t) for n, t in (
-            ("n_tokens", T.LongType()), ("_known", T.LongType()), ("_base", T.DoubleType()), ("_score", T.DoubleType()), ("_u", T.LongType()), ("_rare", T.LongType()),
-            ("_words", T.ArrayType(T.BinaryType())), ("_times", T.ArrayType(T.IntegerType())))),
-    ])
-    below = log10(words.tokens + 0.1 * (words.words + 1))
-    end = log10(words.texts + 0.1)
+def score(encoded: DataFrame, words: Vocabulary, model: Hmm, id_column: str = "doc_id") -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each encoded row; ``encoded`` is read twice: give a saved table."""
+    kept = encoded.select("i", "held_out", "n_tokens", "known", "base", "mine", "u", "rare", "ids")
+    schema = T.StructType(kept.schema.fields[:-1] + [T.StructField("hidden", T.DoubleType())])
 
     def f(batches):
-        memo = words.memo()
-        # Log10 of a frequent word's c + 0.1, and what the model's share of its class adds.
-        known = {w: (log10(c + 0.1), 0.0 if w in words.classes else log10(c + 0.1) - words.below[shared_class(w) - OWN]) for w, c in words.head.items()}
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in slices([len(x) for x in texts], SCORE_BYTES):
-                rows, ids = [], []
-                for text in texts[a:b]:
-                    own = words_of(text)
-                    ids.append(np.array((*memo.many(own), END), np.int64))
-                    base, mine, n_known, rare = end - below, 0.0, int(words.texts > 0), {}
-                    for w, m in Counter(own).items():
-                        x = known.get(w)
-                        if x is None:
-                            rare[w] = m
-                            base -= m * below
-                            mine -= m * words.below[shared_class(w) - OWN]
-                        else:
-                            base += m * (x[0] - below)
-                            mine += m * x[1]
-                            n_known += m
-                    rows.append((len(own) + 1, n_known, base, mine, sum(rare.values()), list(rare), list(rare.values())))
-                n, k, base, mine, m, w, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base), pa.array(np.array(mine) + forward(model, ids)),
-                    batch.column(3).slice(a, b - a), pa.array(m, pa.int64()), pa.array(w, pa.list_(pa.binary())), pa.array(c, pa.list_(pa.int32())),
-                ], names=[x.name for x in schema])
-
-    scored = saved(map_batches(kept, f, schema))
-    rare = scored.select("_u", F.explode(F.arrays_zip("_words", "_times")).alias("x")).select("_u", F.col("x._words").alias("w"), F.col("x._times").alias("m"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(forward(model, sequences(batch.column(8))), pa.float64())], names=[x.name for x in schema])
+
+    rare = encoded.select("u", F.explode(F.arrays_zip("words", "times")).alias("x")).select("u", F.col("x.words").alias("w"), F.col("x.times").alias("m"))
     c = F.coalesce("n", F.lit(0))
-    found = rare.join(words.counts, "w", "left").groupBy("_u").agg(
-        F.sum(F.col("m") * F.round(F.log10(c + 0.1), 12).cast("decimal(20,12)")).cast("double").alias("_log"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("_more"), F.sum("m").alias("_all")
+    found = rare.join(words.counts, "w", "left").groupBy("u").agg(
+        F.sum(F.col("m") * F.round(F.log10(c + 0.1), 12).cast("decimal(20,12)")).cast("double").alias("log"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("more"), F.sum("m").alias("all")
     )
-    # Equal rows have the same _u: their sums are shared out.
-    part = F.coalesce(F.col("_rare") / F.col("_all"), F.lit(0.0))
-    more = F.coalesce(F.col("_log") * part, F.lit(0.0))
-    kept_names = [id_column, "held_out", "n_tokens"]
-    return scored.drop("_words", "_times").join(found, "_u", "left").select(
-        *kept_names,
-        (F.col("_known") + F.coalesce(F.round(F.col("_more") * part), F.lit(0)).cast("long")).alias("n_known"),
+    # Equal rows have the same u: their sums are shared out.
+    part = F.coalesce(F.col("rare") / F.col("all"), F.lit(0.0))
+    more = F.coalesce(F.col("log") * part, F.lit(0.0))
+    return map_batches(kept, f, schema).join(found, "u", "left").select(
+        F.col("i").alias(id_column),
+        "held_out",
+        "n_tokens",
+        (F.col("known") + F.coalesce(F.round(F.col("more") * part), F.lit(0)).cast("long")).alias("n_known"),
         F.lit(words.tokens).cast("long").alias("train_tokens"),
-        (F.col("_base") + more).alias("base_score"),
-        (F.col("_score") + more).alias("score"),
+        (F.col("base") + more).alias("base_score"),
+        (F.col("hidden") + F.col("mine") + more).alias("score"),
     )

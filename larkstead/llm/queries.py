@@ -52,9 +52,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 10) == 0
-    texts = docs.where(~held).select(F.col("text").alias("t"), F.col("doc_id").alias("i"))
-    words = hmm.vocabulary(texts)
-    return hmm.score(docs, words, hmm.train(texts, words), held)
+    words = hmm.vocabulary(docs.where(~held).select(F.col("text").alias("t")))
+    encoded = saved(hmm.encode(docs, words, held))
+    return hmm.score(encoded, words, hmm.train(encoded.where("not held_out")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

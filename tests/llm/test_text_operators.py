@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkstead.llm import hmm, media, packing, queries, token_counts
+from larkstead.llm.common import saved
 from larkstead.llm.labelled import remainder
 
 from .conftest import words
@@ -231,10 +232,10 @@ def test_scores_match_brute_force(documents, odd_rows):
     rows = odd_rows + [(i, f"the quick w{i % 7} fox THE end rare{i}") for i in range(100, 160)]
     df = documents(rows)
     held = remainder("doc_id", 10) == 0
-    texts = df.where(~held).select(F.col("text").alias("t"), F.col("doc_id").alias("i"))
-    vocabulary = hmm.vocabulary(texts)
-    model = hmm.train(texts, vocabulary, passes=1)
-    got = hmm.score(df, vocabulary, model, held).collect()
+    vocabulary = hmm.vocabulary(df.where(~held).select(F.col("text").alias("t")))
+    encoded = saved(hmm.encode(df, vocabulary, held))
+    model = hmm.train(encoded.where("not held_out"), passes=1)
+    got = hmm.score(encoded, vocabulary, model).collect()
     is_held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     counts = Counter(w for i, t in rows if not is_held(i) for w in [*words(t), None])
     n, v = sum(counts.values()), len(counts)
@@ -242,8 +243,30 @@ def test_scores_match_brute_force(documents, odd_rows):
     for i, t in rows:
         own[i].append([*words(t), None])
     assert len(got) == len(rows)
+    # Classes by another way: the most frequent words are their own, others share one by their ending.
+    single = set(sorted((w for w in counts if w is not None), key=lambda w: (-counts[w], w.encode()))[: hmm.OWN])
+    share = defaultdict(lambda: [0, 0])
+    for w, c in counts.items():
+        if w is not None and w not in single:
+            share[hmm.shared_class(w.encode())][0] += c
+            share[hmm.shared_class(w.encode())][1] += 1
+    numbers = {w: i for i, w in enumerate(sorted(single, key=lambda w: (-counts[w], w.encode())))}
+
+    def model_score(tokens):
+        total, a = 0.0, model.start
+        for t, w in enumerate(tokens):
+            c = hmm.END if w is None else numbers[w] if w in single else hmm.shared_class(w.encode())
+            a = (a if t == 0 else a @ model.move) * model.emit[c]
+            total += math.log10(a.sum())
+            a = a / a.sum()
+            if w is not None and w not in single:
+                n_class, v_class = share[c]
+                total += math.log10((counts[w] + 0.1) / (n_class + 0.1 * (v_class + 1)))
+        return total
+
     for r in got:
         tokens = own[r["doc_id"]][0]
+        assert math.isclose(r["score"], model_score(tokens), rel_tol=1e-9)
         assert r["held_out"] == is_held(r["doc_id"]) and r["train_tokens"] == n and r["n_tokens"] == len(tokens)
         assert r["n_known"] == sum(counts[w] > 0 for w in tokens)
         assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), rel_tol=1e-9)
@@ -257,11 +280,71 @@ def test_model_beats_the_base_on_held_out_texts(spark):
 
 def test_empty_language_model(documents):
     df = documents([])
-    texts = df.select(F.col("text").alias("t"), F.col("doc_id").alias("i"))
-    vocabulary = hmm.vocabulary(texts)
-    assert hmm.score(df, vocabulary, hmm.train(texts, vocabulary), F.lit(False)).count() == 0
-    one = documents([(10, "a b")])
-    assert hmm.score(one, vocabulary, hmm.train(texts, vocabulary), F.lit(True)).first()["n_known"] == 0
+    vocabulary = hmm.vocabulary(df.select(F.col("text").alias("t")))
+    encoded = saved(hmm.encode(df, vocabulary, F.lit(False)))
+    model = hmm.train(encoded)
+    assert hmm.score(encoded, vocabulary, model).count() == 0
+    one = hmm.encode(documents([(10, "a b")]), vocabulary, F.lit(True))
+    assert hmm.score(one, vocabulary, model).first()["n_known"] == 0
+
+
+def test_long_texts_are_trained_unbroken(monkeypatch):
+    """Expected counts of 10,000 tokens by a plain forward-backward; gathering in any portions gives the same."""
+    rng = np.random.default_rng(2)
+    model = hmm.Hmm.random(np.ones(hmm.CLASSES))
+    obs = [rng.integers(0, hmm.CLASSES, n) for n in (10_000, 1, 2500, 40, 40, 2048, 7)]
+    want, k = np.zeros(hmm.STATES + hmm.STATES**2 + hmm.STATES * hmm.CLASSES), hmm.STATES
+    for o in obs:
+        alpha, beta = np.zeros((len(o), k)), np.ones((len(o), k))
+        for t in range(len(o)):
+            a = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[o[t]]
+            alpha[t] = a / a.sum()
+        for t in range(len(o) - 2, -1, -1):
+            b = model.move @ (model.emit[o[t + 1]] * beta[t + 1])
+            beta[t] = b / b.sum()
+        gamma = alpha * beta
+        gamma /= gamma.sum(1, keepdims=True)
+        want[:k] += gamma[0]
+        for t in range(1, len(o)):
+            x = alpha[t - 1][:, None] * model.move * (model.emit[o[t]] * beta[t])[None]
+            want[k : k + k * k] += (x / x.sum()).ravel()
+        np.add.at(want[k + k * k :].reshape(hmm.CLASSES, k), o, gamma)
+    assert np.allclose(hmm.all_expected(model, obs), want)
+    monkeypatch.setattr(hmm, "TOKENS", 50)
+    monkeypatch.setattr(hmm, "LONG_TOKENS", 3000)
+    assert np.allclose(hmm.all_expected(model, obs), want)
+
+
+def test_the_head_is_full_whatever_the_ties(spark):
+    words_of_one_count = spark.range(5000).select(F.concat(F.lit("w"), "id").cast("binary").alias("w"), F.lit(3).cast("long").alias("n"))
+    for counts, most in ((words_of_one_count, 700), (words_of_one_count.union(spark.sql("select cast(concat('f', id) as binary), id + 100 from range(300)")), 700), (words_of_one_count, 9000)):
+        head = hmm.frequent(counts, most)
+        assert len(head) == min(most, counts.count()) and head == hmm.frequent(counts.repartition(7), most)
+        if counts is not words_of_one_count:
+            assert [n for n in head.values() if n > 3] == list(range(399, 99, -1))
+
+
+def test_a_very_long_word_keeps_the_trie_small():
+    pieces = token_counts.vocabulary(PIECES)
+    trie = token_counts.Trie(pieces)
+    rng = random.Random(3)
+    for token in ("a" * 300, "▁" + "".join(rng.choice("thenigo") for _ in range(500)), "=" * 200, "é漢" * 70):
+        assert trie.count(token) == best(token, pieces)[1]
+    assert trie.count("ab" * 100_000) == best("ab" * 2000, pieces)[1] * 50 and trie.nodes < 1000
+
+
+def test_streams_are_inflated_in_steps():
+    import gzip
+    import tracemalloc
+
+    bomb = b"x" + gzip.compress(bytes(300 << 20)) + b"tail"
+    tracemalloc.start()
+    assert media.sniff(bomb) == [("application/gzip", 1, len(bomb) - 5)]
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert media.sniff(bomb[:-200]) == []
+    pdf = b"%PDF-1.4 a startxref 1 %%EOF b startxref 2 %%EOF "
+    assert [(t, at, n) for t, at, n in media.sniff(pdf + pdf)] == [("application/pdf", 0, len(pdf) - 1), ("application/pdf", len(pdf), len(pdf) - 1)]
 
 
 @pytest.mark.parametrize("name", ["op1_token_counts", "op3_best_fit_packing", "op9_media_columns"])
