@@ -25,10 +25,10 @@ from pyspark.sql import window as W
 from .common import map_batches, saved
 
 SCALE = 1024
-#: Pivots at most: a documented bound of what the driver holds.
-PIVOTS = 64
-#: Queries of a block and rows of a chunk at most, about.
-BLOCK, CHUNK = 8192, 16384
+#: Pivots grow with the root of the rows between these; the upper one bounds what the driver holds.
+PIVOTS = 64, 1024
+#: Queries of a block and rows of a chunk at most, about: what a task holds, whatever the data.
+BLOCK, CHUNK = 32768, 16384
 #: Queries scored at once.
 STRIP = 64
 
@@ -75,11 +75,12 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int | None = None, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of every row for each query row. ``is_query`` is a condition on column ``id``."""
     rows = saved(quantised(vectors, id_column, vector_column))
     count, top2, width = rows.agg(F.count(F.lit(1)), F.max("norm2"), F.max(F.length("v"))).first()
     width = (width or 0) // 8
+    pivots = pivots or min(PIVOTS[1], max(PIVOTS[0], int(count**0.5) // 2))
     long2 = (top2 or 0.0) * (1 + 1e-9)
     chosen = rows.orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(pivots).collect()
     whole = matrix([bytes(r["v"]) for r in chosen], width).astype(float)
@@ -113,14 +114,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
     chunks = {c: -(-n // chunk) for c, n in sizes.items()}
 
     # Blocks of query cells; a large cell has several blocks. reach[cell]: how far its queries must look.
-    reach, blocks, last, held = {}, {}, 0, 0
+    base, reach, blocks, last, held = {}, {}, {}, 0, 0
     for c, (far, n) in sorted(groups.items()):
-        bound = between[c][near_cell] + near_dist + far if len(near) else np.empty(0)
+        bound = between[c][near_cell] + near_dist if len(near) else np.empty(0)
         # One distance an id: of k + 1 ids, k are candidates.
         order = np.argsort(bound)
         bound = bound[np.sort(order[np.unique(near_id[order], return_index=True)[1]])] if len(near) else bound
         bound.sort()
-        reach[c] = (far, bound[k] + slack if len(bound) > k else np.inf)
+        # A query at distance d of its pivot has its k neighbours within this and d.
+        base[c] = bound[k] + slack if len(bound) > k else np.inf
+        reach[c] = (far, base[c] + far)
         if held and held + n > block:
             last, held = last + 1, 0
         parts = -(-n // block)
@@ -155,15 +158,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
 
     def deal_queries(batches):
         for batch in batches:
-            cell, ids = batch.column(2).to_pylist(), batch.column(0).to_pylist()
+            cell, dist, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 0))
             take, keys = [], []
-            for i, (c, own) in enumerate(zip(cell, ids, strict=True)):
+            for c in np.unique(cell).tolist():
+                own = np.flatnonzero(cell == c)
                 first, parts = blocks[c]
+                wide = 2 * dist[own] + base[c] + slack
+                mine = first + (ids[own] // 100) % parts
                 for j in needs[c]:
+                    # Only queries whose own distance allows the cell.
+                    yes = (between[c][j] - wide <= spans[j][1]) & (between[c][j] + wide >= spans[j][0])
                     for part in range(chunks[j]):
-                        take.append(i)
-                        keys.append((j << 40 | part << 20) + first + (own // 100) % parts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(batch.column(i).take(pa.array(take, pa.int64())) for i in (0, 1))], names=["pair", "id", "v"])
+                        take.append(own[yes])
+                        keys.append((j << 40 | part << 20) + mine[yes])
+            take, keys = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (take, keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(i).take(pa.array(take)) for i in (0, 1))], names=["pair", "id", "v"])
 
     def solve(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         q, v = matrix(mine["v"].to_pylist(), width), matrix(theirs["v"].to_pylist(), width)
