@@ -174,14 +174,19 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all words, words of each text) of texts that lie end to end in data.
+    """(64-bit hashes of all words, words of each text) of texts that lie end to end in data."""
+    return placed_hashes(data, offsets)[:2]
+
+
+def placed_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, words of each text, where each word begins) of texts that lie end to end in data.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Prefix sums of a polynomial over all bytes
     give each word's hash at once. Modulo 2**64 such polynomials collide by structure from 1024
     terms on (the Thue-Morse sequence), so words of more than POLYNOMIAL bytes are hashed by xxh3.
     """
     if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64), np.empty(0, np.int64)
     ink = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -197,7 +202,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     for i in np.flatnonzero(ends - starts > POLYNOMIAL).tolist():
         h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes().translate(LOWER))
-    return h, np.diff(np.searchsorted(starts, offsets))
+    return h, np.diff(np.searchsorted(starts, offsets)), starts
 
 
 def runs_of(h: np.ndarray, k: int) -> np.ndarray:
@@ -213,8 +218,8 @@ def runs_of(h: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
 
 
-def text_slices(column: pa.Array, most: int = HASH_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, word hashes, words of each row) for runs of rows of about ``most`` bytes."""
+def text_slices(column: pa.Array, most: int = HASH_BYTES, places: bool = False) -> Iterator[tuple]:
+    """(first row, last row + 1, word hashes, words of each row, and with ``places`` the bytes and where each word begins) for runs of rows of about ``most`` bytes."""
     column = (column.fill_null("") if column.null_count else column).cast(pa.large_binary())
     if not len(column):
         return
@@ -222,7 +227,9 @@ def text_slices(column: pa.Array, most: int = HASH_BYTES) -> Iterator[tuple[int,
     offsets = np.frombuffer(where, np.int64, len(column) + 1, 8 * column.offset)
     data = np.frombuffer(what, np.uint8) if what is not None and what.size else np.empty(0, np.uint8)
     for a, b in slices(np.diff(offsets).tolist(), most):
-        yield a, b, *word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        own = data[offsets[a] : offsets[b]]
+        h, counts, starts = placed_hashes(own, offsets[a : b + 1] - offsets[a])
+        yield (a, b, h, counts, own, starts) if places else (a, b, h, counts)
 
 
 def bits_for(count: int, least: int = 16, most: int = 28) -> int:

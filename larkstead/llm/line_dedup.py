@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, POLYNOMIAL, _powers, bit_set, bits_for, discard, fresh, in_bits, map_batches, mix, others, runs_of, saved, text_slices
+from .common import POLYNOMIAL, _powers, bit_set, bits_for, discard, fresh, in_bits, map_batches, mix, others, runs_of, saved, text_slices
 
 RUN, LINE = 50, 16
 #: Words of the shortest unit of real lines.
@@ -72,22 +72,12 @@ def windows(h: np.ndarray, counts: np.ndarray, run: int, line: int) -> tuple[np.
     return u, np.where(inside, m, np.uint64(0)), inside, text
 
 
-def line_firsts(column: pa.Array) -> np.ndarray:
-    """Whether each word of the texts, end to end, is the first of a line."""
-    column = (column.fill_null("") if column.null_count else column).cast(pa.large_binary())
-    _, where, what = column.buffers()
-    offsets = np.frombuffer(where, np.int64, len(column) + 1, 8 * column.offset)
-    data = np.frombuffer(what, np.uint8)[offsets[0] : offsets[-1]] if what is not None and what.size else np.empty(0, np.uint8)
-    offsets = offsets - offsets[0]
-    if not len(data):
-        return np.empty(0, bool)
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    ink = ~_SPACE[data]
-    first = ink.copy()
-    first[1:] &= ~ink[:-1] | edge[1:-1]
-    breaks = np.cumsum(((data >= 10) & (data <= 13)) | edge[:-1])[first]
-    return np.concatenate([[True], breaks[1:] != breaks[:-1]]) if len(breaks) else np.empty(0, bool)
+def line_firsts(data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether each word, by where it begins in the bytes of texts end to end, is the first of a line."""
+    out = np.zeros(len(starts) + 1, bool)
+    out[np.searchsorted(starts, np.flatnonzero(data - np.uint8(10) <= 3))] = True
+    out[np.cumsum(counts) - counts] = True
+    return out[:-1]
 
 
 def lines_of(h: np.ndarray, firsts: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,10 +93,11 @@ def lines_of(h: np.ndarray, firsts: np.ndarray, text: np.ndarray, least: int) ->
             more = (words < least) & (after != end) & (own[after] == own[at])
             words = words + np.where(more, n[after], 0)
             end = np.where(more, after, end)
-        units.append(np.stack([np.minimum(at, end), words], 1)[words >= least])
+        units.append((np.minimum(at, end) << 32 | words)[words >= least])
+    # Each unit once: its first line and its words, as one number.
     whole = np.flatnonzero(n >= least)
-    units = np.unique(np.concatenate([*units, np.stack([whole, n[whole]], 1)]), axis=0)
-    starts, n = starts[units[:, 0]], units[:, 1]
+    units = np.unique(np.concatenate([*units, whole << 32 | n[whole]]))
+    starts, n = starts[units >> 32], units & 0xFFFFFFFF
     up, down = _powers(0xBF58476D1CE4E5B9, len(h))
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[: len(h)], out=sums[1:])
@@ -125,13 +116,13 @@ def order_key(docs: DataFrame, id_column: str) -> Column:
 
 
 def _scan(keyed: DataFrame, per_slice, names: list[str]) -> DataFrame:
-    """Columns that per_slice(word hashes, words of each text, text hashes, texts) makes of the rows (t, i, s): longs, and ``i`` by places of rows."""
+    """Columns that per_slice(word hashes, words of each text, text hashes, whether a word is the first of a line) makes of the rows (t, i, s): longs, and ``i`` by places of rows."""
 
     def f(batches):
         for batch in batches:
             own = batch.column(2).to_numpy()
-            for a, b, h, counts in text_slices(batch.column(0)):
-                columns = per_slice(h, counts, own[a:b], batch.column(0).slice(a, b - a))
+            for a, b, h, counts, data, starts in text_slices(batch.column(0), places=True):
+                columns = per_slice(h, counts, own[a:b], line_firsts(data, starts, counts))
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(c + a)) if n == "i" else pa.array(c.astype(np.int64, copy=False)) for n, c in zip(names, columns, strict=True)], names=names)
 
     return map_batches(keyed, f, T.StructType([T.StructField(n, keyed.schema["i"].dataType if n == "i" else T.LongType()) for n in names]))
@@ -147,12 +138,12 @@ def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     whole = keyed.select("i", "s").join(copied, F.col("s") == F.col("k")).where("i > first").select("i", "s", F.lit(-1).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
 
     # Fingerprints of each text, once each; with the text's hash if the text has copies (which count once), else 0, and 2 for those the text has twice.
-    def prints(h, counts, s, texts):
+    def prints(h, counts, s, firsts):
         u, m, _, text = windows(h, counts, run, line)
         at = selected(u, m, units)
         f, own = u[at].view(np.int64), text[at]
         if least:
-            r, at, _ = lines_of(h, line_firsts(texts), text, least)
+            r, at, _ = lines_of(h, firsts, text, least)
             f, own = np.concatenate([f, r.view(np.int64)]), np.concatenate([own, text[at]])
         order = np.lexsort((f, own))
         f, own = f[order], own[order]
@@ -170,13 +161,13 @@ def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     discard(common)
 
     # Runs around repeated fingerprints. Repeats within a text are known at once: they get r = 0.
-    def runs(h, counts, s, texts):
+    def runs(h, counts, s, firsts):
         _, m, inside, text = windows(h, counts, run, line)
         at = np.flatnonzero(inside)
         at = at[in_bits(bits, m[at])]
         r, n = runs_of(h, run)[at], np.full(len(at), run)
         if least:
-            of_lines, starts, words = lines_of(h, line_firsts(texts), text, least)
+            of_lines, starts, words = lines_of(h, firsts, text, least)
             known = in_bits(bits, of_lines)
             r, at, n = (np.concatenate(x) for x in ((r, of_lines[known]), (at, starts[known]), (n, words[known])))
         r = np.maximum(r, np.uint64(1)).view(np.int64)
