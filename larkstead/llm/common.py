@@ -24,7 +24,7 @@ CACHE_WORDS = 300_000
 #: Words of more bytes are computed anew each time rather than remembered.
 LONG_KEY = 256
 #: Bytes of an Arrow batch that a Python worker gets at once.
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 _OWN_DIR: list[str] = []
 
 
