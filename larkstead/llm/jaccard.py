@@ -19,11 +19,12 @@ made up but by a collision of hashes (48 bits within a pair of sets, else 64).
    a group can share; only groups that may reach the threshold are opened, and their members
    compared. The bound is how many prefix shingles of the class the group's union has, and all
    that follows the prefix. A shingle that many groups have late in their order makes no pairs.
-6. Links of steps 4 and 5 give the components. Pairs are compared by prefixes first, which leaves
-   few, and those by whole sets.
+   Pairs are compared by prefixes first, which leaves few, and those by whole sets.
+6. Links of steps 4 and 5 give the components. Within a group, all links are counted: its classes
+   are dealt to cells by bands of sizes, and two cells that may hold linked sizes are compared at
+   once, by a product of their class-token matrices. Only counts by class leave a pair of cells.
 
-Work in a group is with its leader, so copies are never paired with one another. Null texts are
-empty. Rows with equal ids are separate rows of one result; null ids are kept and don't name a
+A class stands for its copies, which are never paired with one another. Null texts are empty. Rows with equal ids are separate rows of one result; null ids are kept and don't name a
 component unless it has no others. Only the named columns are read; an empty table gives no rows.
 """
 
@@ -46,6 +47,8 @@ SAMPLE, FREQUENT, HOT = 8, 8, 1 << 21
 PAIR_BYTES = 2 << 20
 #: Ratio of the sizes that a band takes in.
 BAND = 1.1
+#: Classes and bytes of set data that a cell of a group holds, about; tokens that a product of matrices takes at once.
+CELL, CELL_BYTES, TOKENS = 256, 1 << 20, 1 << 11
 
 
 def sets_of(h: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:
@@ -140,11 +143,67 @@ def flat_packed(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return out.view("<i8").ravel(), (at - at[0]) // 6
 
 
+def overlaps(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray) -> np.ndarray:
+    """How many values each set of x shares with each of y, by products of their incidence matrices."""
+    n, m = len(at_x) - 1, len(at_y) - 1
+    row = np.repeat(np.arange(n + m), np.concatenate([np.diff(at_x), np.diff(at_y)]))
+    _, token, count = np.unique(np.concatenate([x, y]), return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[token] > 1)
+    row, token = row[some], (np.cumsum(count > 1) - 1)[token[some]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    out = np.zeros((n, m), np.int64)
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, TOKENS):
+        a, b = np.searchsorted(token, (low, low + TOKENS))
+        matrix = np.zeros((n + m, TOKENS), np.float32)
+        matrix[row[a:b], token[a:b] - low] = 1
+        out += (matrix[:n] @ matrix[n:].T).astype(np.int64)
+    return out
+
+
+def _counted(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(e, classes, copies): with how many classes of its group, and copies of those, each member (g, e, n, copies, data) links; all pairs of a group are compared."""
+    groups = members.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.sum(F.length("data")).alias("bytes")).where("c > 1")
+    whole = (F.col("c") <= CELL) & (F.col("bytes") <= CELL_BYTES)
+    placed = members.select("g", "e", "n", F.length("data").alias("size")).join(groups, "g").withColumn("z", F.when(whole, 0).otherwise(F.floor(F.log("n") / math.log(BAND)).cast("int")))
+    parts = placed.groupBy("g", "z").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("size") / CELL_BYTES)).alias("parts"))
+    placed = saved(placed.join(parts, ["g", "z"]).select("g", "e", "n", "z", F.pmod(F.xxhash64("e"), "parts").alias("p")))
+    cells = saved(placed.groupBy("g", "z", "p").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    one, two = (cells.select("g", *[F.col(c).alias(f"{c}{i}") for c in ("z", "p", "low", "high")]) for i in (1, 2))
+    near = one.join(two, "g").where(f"struct(z1, p1) <= struct(z2, p2) and {den} * high1 >= {num} * low2 and {den} * high2 >= {num} * low1")
+    key = ["g", "z1", "p1", "z2", "p2"]
+    sides = near.select(*key, F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("z1").alias("z"), F.col("p1").alias("p")), F.struct(F.lit(2).alias("side"), F.col("z2").alias("z"), F.col("p2").alias("p")))).alias("s"))
+    sides = sides.where("s.side = 1 or z1 <> z2 or p1 <> p2").select(*key, "s.*")
+    dealt = placed.select("g", "e", "z", "p").join(sides, ["g", "z", "p"]).join(members.select("e", "n", "copies", "data"), "e").select(*key, "side", "e", "n", "copies", "data")
+
+    def f(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        e, n, copies = (table.column(c).to_numpy() for c in ("e", "n", "copies"))
+        side, data = table.column("side").to_numpy(), table.column("data").combine_chunks()
+        own = [np.flatnonzero(side == i) for i in (1, 2)]
+        same = not len(own[1])
+        if same:
+            own[1] = own[0]
+        (x, at_x), (y, at_y) = (flat_packed(data.take(pa.array(rows))) for rows in own)
+        shared = overlaps(x, at_x, y, at_y)
+        linked = den * shared >= num * (n[own[0]][:, None] + n[own[1]] - shared)
+        if same:
+            np.fill_diagonal(linked, False)
+        ways = [(own[0], own[1], linked)] if same else [(own[0], own[1], linked), (own[1], own[0], linked.T)]
+        columns = [np.concatenate(c) for c in zip(*[(e[a], way.sum(axis=1), way @ copies[b]) for a, b, way in ways], strict=True)]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["e", "classes", "copies"])
+
+    found = saved(dealt.groupBy(*key).applyInArrow(f, "e long, classes long, copies long").where("classes > 0"))
+    discard(placed, cells)
+    return found
+
+
 def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, links, class_id) of each row.
+    """(id, n_shingles, component_id, links, class_links, class_id) of each row.
 
-    component_id is the smallest id that links reach; links are those of the row's class that were
-    verified (enough to connect it, not all that there are); class_id is the hash of its set.
+    component_id is the smallest id that links reach; links is the number of other rows that the row
+    links with, copies included; class_links that of other classes, which have different sets;
+    class_id is the hash of its set.
     """
     # 1. Classes, and the sample's sets.
     def whole(i, s, e, state):
@@ -211,9 +270,9 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_colu
     def links(n: int, m: int, shared: int) -> bool:
         return den * shared >= num * (n + m - shared)
 
-    def sets(pairs: DataFrame, column: str) -> DataFrame:
-        """(e, n, data) of the classes in a column of pairs."""
-        named = saved(pairs.select(F.col(column).alias("e")).distinct())
+    def sets(pairs: DataFrame) -> DataFrame:
+        """(e, n, data) of the classes in pairs, one row each, by one pass over the texts."""
+        named = saved(pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct())
         wanted = bit_set(named, "e", bits_for(named.count()))
         discard(named)
 
@@ -227,18 +286,21 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_colu
             columns = list(zip(*out, strict=True)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["e", "n", "d", "data"])
 
-        found = _over(docs, text[1:], words, full, "e long, n long, d long, data binary", made)
-        return once(found)
+        found = saved(_over(docs, text[1:], words, full, "e long, n long, d long, data binary", made))
+        out = saved(once(found).drop("d"))
+        discard(found)
+        return out
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link: by their prefixes first, then by the sets of those that are left."""
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The pairs that link, by their prefixes first, then by the sets of those that are left; and these sets."""
         short = nodes.select("e", "n", F.col("p").alias("data"))
         pairs = saved(_compared(pairs, short, short, flat_list, plausible))
         if not pairs.count():
-            return pairs
-        out = saved(_compared(pairs, sets(pairs, "a"), sets(pairs, "b"), flat_packed, links))
+            return pairs, None
+        data = sets(pairs)
+        out = saved(_compared(pairs, data, data, flat_packed, links))
         discard(pairs)
-        return out
+        return out, data
 
     # 4. Groups around leaders.
     posts = nodes.select("e", "n", "copies", F.explode(F.arrays_zip("p", "r")).alias("x")).select("e", "n", "copies", F.col("x.p").alias("k"), F.col("x.r").alias("rest"))
@@ -246,7 +308,7 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_colu
     lead = posts.groupBy("k").agg(F.max(F.struct("copies", "e", "n")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("k", F.col("top.e").alias("b"), F.col("top.n").alias("m"))
     near = posts.join(lead, "k").where("e <> b").where(near_size).groupBy("e", "b").agg(F.count(F.lit(1)).alias("c"))
     best = near.groupBy("e").agg(F.max(F.struct("c", "b")).alias("x")).select(F.col("e").alias("a"), F.col("x.b").alias("b"))
-    stars = verified(best)
+    stars, data = verified(best)
     groups = saved(components(stars)) if stars.count() else None
 
     def with_group(df: DataFrame, out: str) -> DataFrame:
@@ -274,28 +336,38 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_colu
     opened = saved(matched.withColumn("most", F.expr(f"c + ceil({num} * n / {den}) - 1")).where(f"{sum_} * most >= {num} * (n + low)"))
     members = with_group(nodes.select("e", F.col("n").alias("m")), "h").withColumnRenamed("e", "b").withColumn("z", F.expr(band("m")))
     pairs = opened.join(members, ["h", "z"]).where(f"{near_size} and {sum_} * most >= {num} * (n + m) and (m < n or m = n and b < e)").select(F.col("e").alias("a"), "b")
-    across = verified(pairs)
-    discard(nodes, grouped, opened)
+    across, others = verified(pairs)
+    discard(nodes, grouped, opened, others)
 
-    # 6. Components, named by their smallest id.
+    # 6. All links of each class, and components, named by their smallest id.
     found = stars.union(across)
-    named = classes.select("e", "first")
+    named = classes.select("e", "first", "copies")
     if found.count():
         roots = saved(components(found))
-        degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-        known = roots.join(named, F.col("node") == F.col("e")).select("node", "root", "first")
+        # Links across groups are all in ``across``, once each; those within, the stars too, are counted.
+        ways = across.union(across.select("b", "a")).toDF("node", "e").join(classes.select("e", "copies"), "e").select(F.col("node").alias("e"), F.lit(1).cast("long").alias("classes"), "copies")
+        within = None
+        if groups is not None:
+            members = saved(data.join(groups.select(F.col("node").alias("e"), F.col("root").alias("g")), "e").join(classes.select("e", "copies"), "e").select("g", "e", "n", "copies", "data"))
+            within = _counted(members, num, den)
+            discard(members)
+            ways = ways.union(within)
+        degree = ways.groupBy("e").agg(F.sum("classes").alias("class_links"), F.sum("copies").alias("linked")).withColumnRenamed("e", "node")
+        known = roots.join(named.select("e", "first"), F.col("node") == F.col("e")).select("node", "root", "first")
         smallest = known.groupBy("root").agg(F.min("first").alias("component_id"))
         # Each root names its component; nodes look it up.
-        known = known.join(smallest, "root").join(degree, "node", "left").select(F.col("node").alias("e"), "component_id", "links")
-        named = named.join(known, "e", "left").select("e", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        known = known.join(smallest, "root").join(degree, "node", "left").select(F.col("node").alias("e"), "component_id", "class_links", "linked")
+        named = named.join(known, "e", "left")
     else:
-        roots = None
-        named = named.select("e", F.col("first").alias("component_id"), F.lit(0).cast("long").alias("links"))
-    named = saved(named)
-    discard(classes, stars, across, *[x for x in (groups, roots) if x is not None])
+        roots = within = None
+        named = named.select("*", F.col("first").alias("component_id"), F.lit(0).cast("long").alias("class_links"), F.lit(0).cast("long").alias("linked"))
+    own = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
+    named = saved(named.select("e", F.coalesce("component_id", "first").alias("component_id"), own.alias("links"), F.coalesce("class_links", F.lit(0)).alias("class_links")))
+    discard(classes, stars, across, data, *[x for x in (groups, roots, within) if x is not None])
     return rows.select("i", "n", "e").join(named, "e", "left").select(
-        F.col("i").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "i")).otherwise(F.col("i")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), F.col("e").alias("class_id")
-    )
+        F.col("i").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "i")).otherwise(F.col("i")).alias("component_id"),
+        F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_links", F.lit(0)).alias("class_links"), F.col("e").alias("class_id"),
+    )
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:

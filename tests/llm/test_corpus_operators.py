@@ -159,6 +159,36 @@ def test_jaccard_of_longer_copies_in_a_leading_text(documents):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == components_by_force(rows, 4, 85, 100)
 
 
+def links_by_force(rows, k, num, den):
+    """(id, links with other rows, links with other sets) of each row."""
+    sets = [(i, frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if (w := words(t)) else frozenset()) for i, t in rows]
+    linked = {s: {t for _, t in sets if s and t and den * len(s & t) >= num * len(s | t)} for _, s in sets}
+    copies = Counter(s for _, s in sets)
+    return sorted(((i, max(0, sum(copies[t] for t in linked[s]) - 1), len(linked[s] - {s})) for i, s in sets), key=str)
+
+
+@pytest.mark.parametrize("k,num,cell,size", [(4, 85, 256, 1 << 20), (4, 85, 4, 1 << 20), (5, 80, 256, 1500), (2, 60, 8, 1 << 20)])
+def test_jaccard_counts_all_links(documents, odd_rows, monkeypatch, k, num, cell, size):
+    """Links within a group of near copies too, be it one cell or many; copies count, and make no pairs."""
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "CELL_BYTES", size)
+    rows = [(None if i is None else i + 1000, t) for i, t in odd_rows] + family_rows()
+    got = jaccard.join(documents(rows), k, num, 100).collect()
+    want = links_by_force(rows, k, num, 100)
+    assert sorted(((r["doc_id"], r["links"], r["class_links"]) for r in got), key=str) == want
+    assert max(c for _, _, c in want) > 2
+
+
+def test_overlaps_in_parts(monkeypatch):
+    monkeypatch.setattr(jaccard, "TOKENS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(-40, 40, n)) for n in (30, 0, 50, 9, 1, 60)]
+    flat = lambda some: (np.concatenate(some), np.cumsum([0, *map(len, some)]))
+    got = jaccard.overlaps(*flat(sets[:2]), *flat(sets[2:]))
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:2]]
+    assert jaccard.overlaps(*flat([sets[1]]), *flat([sets[1]])).tolist() == [[0]]
+
+
 def test_jaccard_edges(documents):
     assert jaccard.join(documents([]), 4, 85, 100).count() == 0
     got = jaccard.join(documents([(1, None), (2, None)]), 4, 85, 100).collect()
