@@ -9,6 +9,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,6 +114,21 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def word_column(column: pa.Array) -> tuple[pa.BinaryArray, np.ndarray]:
+    """(words as in ``words_of`` of all texts, one after the other; words of each text) of a text column; null is empty."""
+    column = column.cast(pa.binary())
+    column = column.fill_null(b"") if column.null_count else column
+    # Bytes are taken as they are, valid UTF-8 or not.
+    text = pa.Array.from_buffers(pa.string(), len(column), column.buffers(), 0, column.offset)
+    rows = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    words, sizes = rows.flatten().cast(pa.binary()), rows.value_lengths().to_numpy().astype(np.int64)
+    ink = pc.greater(pc.binary_length(words), 0)
+    if not pc.all(ink).as_py():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[ink.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        words = words.filter(ink)
+    return words, sizes
+
+
 class Memo(dict):
     """word -> f(word), computed once per worker as long as it fits CACHE_WORDS."""
 

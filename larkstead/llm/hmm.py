@@ -18,18 +18,18 @@ tokens are unknown; an empty table gives no rows. Only the named columns are rea
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, discard, map_batches, saved, slices, texts_of, words_of
+from .common import BATCH_BYTES, Memo, lists, map_batches, saved, slices, word_column
 
 #: Words whose counts are broadcast (at most), words that are classes of their own, and shared classes.
 HEAD, OWN, SHARED = 1 << 16, 2048, 64
@@ -40,8 +40,12 @@ STATES, PASSES = 8, 2
 SEED_ROWS, SEED_TOKENS, SEED_PASSES = 300, 150_000, 20
 #: Tokens from which a text counts as long; tokens of short and of long texts that a task takes up at once (results don't depend on it).
 LONG, TOKENS, LONG_TOKENS = 2048, 1 << 18, 1 << 20
-#: Different words that a task counts before it hands them on.
-FLUSH = 200_000
+#: Steps after which forward probabilities are scaled anew, few enough not to underflow; tokens whose emissions are counted at once (results don't depend on it).
+SCALED, COUNTED = 8, 1 << 15
+#: Bits of the lower part of a logarithm.
+PART = 20
+#: Bytes of words that a task counts before it hands them on, and the rows that it hands on at once.
+GATHERED, ROWS = 32 << 20, 1 << 17
 #: Expected counts are added up as whole multiples of 2**-20, so sums don't depend on their order.
 UNIT = 1 << 20
 
@@ -67,8 +71,17 @@ class Vocabulary:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"counts": None}  # tasks don't get the table
 
-    def memo(self) -> Memo:
-        return Memo(lambda w: self.classes[w] if w in self.classes else shared_class(w))
+    def by_code(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, and what a token adds to the base and to the model's share of its class, of frequent words, of other words by shared class
+        (without their counts), and of the end."""
+        classes = np.array([self.classes[w] if w in self.classes else shared_class(w) for w in self.head] + list(range(OWN, END + 1)), "<u2")
+        logs = np.zeros(len(classes))
+        logs[: len(self.head)] = [log10(c + 0.1) for c in self.head.values()]
+        logs[-1] = log10(self.texts + 0.1)
+        share = np.zeros(len(classes), bool)
+        share[len(self.classes) : -1] = True
+        mine = np.where(share, logs - np.array(self.below)[np.where(share, classes - OWN, 0)], 0.0)
+        return classes, logs - log10(self.tokens + 0.1 * (self.words + 1)), mine
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -76,16 +89,18 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def f(batches):
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["w", "n"])
+            counted = pa.chunked_array(waiting, pa.binary()).value_counts()
+            for i in range(0, len(counted), ROWS):
+                yield pa.RecordBatch.from_arrays(counted.slice(i, ROWS).flatten(), names=["w", "n"])
 
-        own: Counter = Counter()
+        waiting, size = [], 0
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                own.update(words_of(text))
-                if len(own) > FLUSH:
-                    yield rows()
-                    own.clear()
-        yield rows()
+            waiting.append(word_column(batch.column(0))[0])
+            size += waiting[-1].nbytes
+            if size > GATHERED:
+                yield from rows()
+                waiting, size = [], 0
+        yield from rows()
 
     return map_batches(texts, f, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -120,15 +135,18 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     n, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     rows = texts.count()
     head = frequent(counts, HEAD)
-    own = set(list(head)[:OWN])
 
     def classed(batches):
         for batch in batches:
-            pairs = [(shared_class(w), c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in own]
-            k, c = zip(*pairs, strict=True) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(c, pa.int64())], names=["k", "c"])
-
-    sizes = {r["k"]: (r["n"], r["v"]) for r in map_batches(counts, classed, "k int, c long").groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+            k = [shared_class(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), batch.column(1), batch.column(2)], names=["k", "n", "v"])
+
+    # A word's last letters alone tell its shared class; words that are their own class are taken off.
+    endings = counts.groupBy(F.expr("substring(w, -3, 3)").alias("x")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    sizes = {r["k"]: (r["n"], r["v"]) for r in map_batches(endings, classed, "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    for w, c in list(head.items())[:OWN]:
+        n_, v = sizes[shared_class(w)]
+        sizes[shared_class(w)] = n_ - c, v - 1
     below = [log10(n_ + 0.1 * (v + 1)) for n_, v in (sizes.get(OWN + i, (0, 0)) for i in range(SHARED))]
     return Vocabulary(counts, n + rows, words + (rows > 0), rows, head, below)
 
@@ -155,6 +173,22 @@ class Hmm:
         return cls.from_counts(flat)
 
 
+def by_step(classes: list[np.ndarray]) -> tuple[np.ndarray, list[int], list[int]]:
+    """(tokens by step, then by sequence; how many sequences take each step; where each step begins) of sequences, longest first."""
+    lengths = np.array([len(c) for c in classes])
+    live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+    first = np.concatenate([[0], np.cumsum(live)])
+    step = np.concatenate([np.arange(n) for n in lengths])
+    obs = np.empty(first[-1], np.int64)
+    obs[first[step] + np.repeat(np.arange(len(classes)), lengths)] = np.concatenate(classes)
+    return obs, [*live.tolist(), 0], first.tolist()
+
+
+def scaled(t: int, live: list[int]) -> int:
+    """The sequences from this one on are scaled at step t: all at each ``SCALED``-th, else those that end."""
+    return 0 if t % SCALED == SCALED - 1 else live[t + 1]
+
+
 def expected(model: Hmm, classes: list[np.ndarray]) -> np.ndarray:
     """Baum-Welch counts (start, moves, emissions) of whole sequences of classes.
 
@@ -164,35 +198,34 @@ def expected(model: Hmm, classes: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(STATES + STATES**2 + STATES * CLASSES)
     if not classes:
         return total
-    classes = sorted(classes, key=len, reverse=True)
-    lengths = np.array([len(c) for c in classes])
-    live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
-    first = np.concatenate([[0], np.cumsum(live)])
-    # Tokens by step, then by sequence.
-    step = np.concatenate([np.arange(n) for n in lengths])
-    obs = np.empty(first[-1], np.int64)
-    obs[first[step] + np.repeat(np.arange(len(classes)), lengths)] = np.concatenate(classes)
-    alpha, scale = np.empty((len(obs), STATES)), np.empty((len(obs), 1))
-    ends = first.tolist()
-    a = None
-    for t, n in enumerate(live.tolist()):
+    obs, live, ends = by_step(sorted(classes, key=len, reverse=True))
+    alpha, scales, a = np.empty((len(obs), STATES)), [], model.start
+    for t in range(len(live) - 1):
         i, j = ends[t], ends[t + 1]
-        a = (model.start if a is None else a[:n] @ model.move) * model.emit[obs[i:j]]
-        c = a.sum(1, keepdims=True)
-        a /= c
-        alpha[i:j], scale[i:j] = a, c
+        own, s, c = alpha[i:j], scaled(t, live), None
+        np.multiply(a[: live[t]] @ model.move if t else a, model.emit.take(obs[i:j], axis=0), out=own)
+        if s < live[t]:
+            c = 1 / own[s:].sum(1, keepdims=True)
+            own[s:] *= c
+        scales.append(c)
+        a = own
     move, back, x = np.zeros((STATES, STATES)), model.move.T.copy(), None
-    for t in range(len(live) - 1, -1, -1):
+    for t in range(len(live) - 2, -1, -1):
         i, j = ends[t], ends[t + 1]
-        own = alpha[i:j]
-        beta = np.ones_like(own)
+        own, y = alpha[i:j], model.emit.take(obs[i:j], axis=0)
         if x is not None:
-            beta[: len(x)] = x @ back
-            move += own[: len(x)].T @ x
-        x = model.emit[obs[i:j]] * beta / scale[i:j]
-        own *= beta
-    emit = np.stack([np.bincount(obs, alpha[:, k], CLASSES) for k in range(STATES)], 1)
-    return np.concatenate([alpha[: live[0]].sum(0), (move * model.move).ravel(), emit.ravel()])
+            n = len(x)
+            move += own[:n].T @ x
+            beta = x @ back
+            y[:n] *= beta
+            own[:n] *= beta
+        if scales[t] is not None:
+            y[scaled(t, live) :] *= scales[t]
+        x = y
+    emit = np.zeros(STATES * CLASSES)
+    for i in range(0, len(obs), COUNTED):
+        emit += np.bincount((obs[i : i + COUNTED, None] * STATES + np.arange(STATES)).ravel(), alpha[i : i + COUNTED].ravel(), STATES * CLASSES)
+    return np.concatenate([alpha[: live[0]].sum(0), (move * model.move).ravel(), emit])
 
 
 class Gathered:
@@ -227,10 +260,6 @@ def all_expected(model: Hmm, classes: list[np.ndarray]) -> np.ndarray:
     return gathered.counts()
 
 
-def class_ids(texts: list[bytes], memo: Memo) -> list[np.ndarray]:
-    return [np.array((*memo.many(words_of(t)), END), "<u2") for t in texts]
-
-
 def encode(docs: DataFrame, words: Vocabulary, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a text: i (id), held_out, u (a hash of the row), n_tokens, ids (classes, two bytes each), and for its score by words:
     known, base and mine (sums over frequent words), rare (tokens of others), words and times (the others)."""
@@ -240,39 +269,55 @@ def encode(docs: DataFrame, words: Vocabulary, held_out: Column, id_column: str
             ("u", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("known", T.LongType()), ("base", T.DoubleType()), ("mine", T.DoubleType()), ("rare", T.LongType()),
             ("words", T.ArrayType(T.BinaryType())), ("times", T.ArrayType(T.IntegerType())))),
     ])
-    below = log10(words.tokens + 0.1 * (words.words + 1))
-    end = log10(words.texts + 0.1)
+    top = len(words.head)
+    end = top + SHARED
 
     def f(batches):
-        memo = words.memo()
-        # Log10 of a frequent word's c + 0.1, and what the model's share of its class adds.
-        known = {w: (log10(c + 0.1), 0.0 if w in words.classes else log10(c + 0.1) - words.below[shared_class(w) - OWN]) for w, c in words.head.items()}
+        def rows(texts):
+            own, sizes = word_column(texts)
+            # A token's code: the place of a frequent word, then the shared classes, then the end.
+            code = pc.index_in(own, value_set=head).fill_null(-1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.flatnonzero(code < 0)
+            others = own.take(pa.array(at)).dictionary_encode()
+            which = others.indices.to_numpy()
+            code[at] = np.array([top - OWN + shared[w[-3:]] for w in others.dictionary.to_pylist()], np.int64)[which]
+            full = np.full(len(own) + len(sizes), end)
+            full[np.arange(len(own)) + row] = code
+            # Each text's other words, once each.
+            pairs, times = np.unique(row[at] * len(others.dictionary) + which, return_counts=True)
+            text, word = np.divmod(pairs, max(len(others.dictionary), 1))
+            kinds = np.bincount(text, minlength=len(sizes))
+            rare = np.bincount(row[at], minlength=len(sizes))
+            sizes = sizes + 1
+            starts = np.cumsum(sizes) - sizes
+            return [
+                pa.array(sizes, pa.int64()),
+                byte_rows(classes[full], sizes),
+                pa.array(sizes - rare - (words.texts == 0), pa.int64()),
+                pa.array(np.add.reduceat(base[full], starts), pa.float64()),
+                pa.array(np.add.reduceat(mine[full], starts), pa.float64()),
+                pa.array(rare, pa.int64()),
+                lists(others.dictionary.take(pa.array(word)), kinds, pa.binary()),
+                lists(times, kinds, pa.int32()),
+            ]
+
+        head, shared = pa.array(list(words.head), pa.binary()), Memo(shared_class)
+        classes, base, mine = words.by_code()
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in slices([len(x) for x in texts]):
-                rows = []
-                for text in texts[a:b]:
-                    own = words_of(text)
-                    ids = np.array((*memo.many(own), END), "<u2")
-                    base, mine, n_known, rare = end - below, 0.0, int(words.texts > 0), {}
-                    for w, m in Counter(own).items():
-                        x = known.get(w)
-                        if x is None:
-                            rare[w] = m
-                            base -= m * below
-                            mine -= m * words.below[shared_class(w) - OWN]
-                        else:
-                            base += m * (x[0] - below)
-                            mine += m * x[1]
-                            n_known += m
-                    rows.append((len(own) + 1, ids.tobytes(), n_known, base, mine, sum(rare.values()), list(rare), list(rare.values())))
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(j).slice(a, b - a) for j in (0, 2, 3)] + columns, names=[x.name for x in schema])
+            for a, b in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column(j).slice(a, b - a) for j in (0, 2, 3)] + rows(batch.column(1).slice(a, b - a)), names=[x.name for x in schema])
 
     return map_batches(kept, f, schema)
 
 
+def byte_rows(values: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """A binary column whose rows hold so many of the values each."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes * values.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
 def sequences(column: pa.BinaryArray) -> list[np.ndarray]:
     """Classes of each text of an ``ids`` column."""
     return [np.frombuffer(x.as_buffer(), "<u2") for x in column]
@@ -316,17 +361,17 @@ def forward(model: Hmm, classes: list[np.ndarray]) -> np.ndarray:
     """Log10 likelihood of each sequence of classes: scaled forward recursion, longest first."""
     if not classes:
         return np.empty(0)
-    lengths = np.array([len(c) for c in classes])
-    order = np.argsort(-lengths, kind="stable")
-    flat, starts = np.concatenate([classes[i] for i in order]), np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
-    alive = np.searchsorted(-lengths[order], -np.arange(lengths.max()), "left")
-    total, a = np.zeros(len(classes)), None
-    for t, n in enumerate(alive.tolist()):
-        e = model.emit[flat[starts[:n] + t]]
-        a = model.start * e if a is None else (a[:n] @ model.move) * e
-        c = a.sum(1)
-        a /= c[:, None]
-        total[:n] += np.log10(c)
+    order = np.argsort([-len(c) for c in classes], kind="stable")
+    obs, live, ends = by_step([classes[i] for i in order])
+    total, a = np.zeros(len(classes)), model.start
+    for t in range(len(live) - 1):
+        e = model.emit.take(obs[ends[t] : ends[t + 1]], axis=0)
+        e *= a[: live[t]] @ model.move if t else a
+        a, s = e, scaled(t, live)
+        if s < live[t]:
+            c = a[s:].sum(1)
+            a[s:] /= c[:, None]
+            total[s : live[t]] += np.log10(c)
     out = np.empty(len(classes))
     out[order] = total
     return out
@@ -341,11 +386,16 @@ def score(encoded: DataFrame, words: Vocabulary, model: Hmm, id_column: str = "d
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(forward(model, sequences(batch.column(8))), pa.float64())], names=[x.name for x in schema])
 
-    rare = encoded.select("u", F.explode(F.arrays_zip("words", "times")).alias("x")).select("u", F.col("x.words").alias("w"), F.col("x.times").alias("m"))
-    c = F.coalesce("n", F.lit(0))
-    found = rare.join(words.counts, "w", "left").groupBy("u").agg(
-        F.sum(F.col("m") * F.round(F.log10(c + 0.1), 12).cast("decimal(20,12)")).cast("double").alias("log"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("more"), F.sum("m").alias("all")
+    rare = encoded.select("u", F.explode(F.arrays_zip("words", "times")).alias("x")).select("u", F.col("x.words").alias("w"), F.col("x.times").cast("long").alias("m"))
+    # Logarithms as whole multiples of 1e-12, added up in two parts: sums don't depend on their order and never overflow.
+    log = F.rint(F.log10(F.col("n") + 0.1) * 1e12).cast("long")
+    known = words.counts.select("w", F.shiftright(log, PART).alias("high"), log.bitwiseAND((1 << PART) - 1).alias("low"))
+    none = -(10**12)
+    found = rare.join(known, "w", "left").groupBy("u").agg(
+        F.sum(F.col("m") * F.coalesce("high", F.lit(none >> PART))).alias("high"), F.sum(F.col("m") * F.coalesce("low", F.lit(none & (1 << PART) - 1))).alias("low"),
+        F.sum(F.when(F.col("low").isNotNull(), F.col("m")).otherwise(0)).alias("more"), F.sum("m").alias("all")
     )
+    found = found.select("u", ((F.col("high").cast("double") * (1 << PART) + F.col("low").cast("double")) / 1e12).alias("log"), "more", "all")
     # Equal rows have the same u: their sums are shared out.
     part = F.coalesce(F.col("rare") / F.col("all"), F.lit(0.0))
     more = F.coalesce(F.col("log") * part, F.lit(0.0))

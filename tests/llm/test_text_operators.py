@@ -10,13 +10,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkstead.llm import hmm, media, packing, queries, token_counts
-from larkstead.llm.common import saved
+from larkstead.llm.common import saved, word_column, words_of
 from larkstead.llm.labelled import remainder
 
 from .conftest import words
@@ -315,6 +316,57 @@ def test_long_texts_are_trained_unbroken(monkeypatch):
     assert np.allclose(hmm.all_expected(model, obs), want)
 
 
+def test_forward_is_scaled_every_few_steps(monkeypatch):
+    """Logarithms are taken at each SCALED-th step and where texts end, not at each step; rare classes don't underflow."""
+    flat = np.zeros(hmm.STATES + hmm.STATES**2 + hmm.STATES * hmm.CLASSES)
+    flat[hmm.STATES + hmm.STATES**2 :] = 1e-3
+    flat[hmm.STATES + hmm.STATES**2 + hmm.STATES * 5 :][: hmm.STATES] = 1e12
+    model = hmm.Hmm.from_counts(flat)
+    obs = [np.full(n, 9) for n in (4001, 4000, 12, 1)]
+    want = []
+    for o in obs:
+        total, a = 0.0, model.start
+        for t, c in enumerate(o):
+            a = (a @ model.move if t else a) * model.emit[c]
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        want.append(total)
+    plain, calls = np.log10, []
+    monkeypatch.setattr(np, "log10", lambda x: calls.append(1) or plain(x))
+    assert np.allclose(hmm.forward(model, obs), want, rtol=1e-12)
+    assert len(calls) <= 4001 / 8 + len(obs)
+    assert np.isclose(hmm.all_expected(model, obs)[hmm.STATES + hmm.STATES**2 :].reshape(hmm.CLASSES, hmm.STATES)[9].sum(), sum(map(len, obs)))
+
+
+def test_rare_words_are_counted_in_whole_numbers(documents, monkeypatch):
+    """With a small head nearly all words go through the join; it adds up whole numbers, no decimals."""
+    monkeypatch.setattr(hmm, "HEAD", 3)
+    rows = [(i, " ".join(f"w{i * j % 23} W{j % 7}" for j in range(i % 40)) + f" once{i} x\x1cy É 漢{i}字 b{i}éé") for i in range(60)] + [(7, None), (None, "w1 w1 new")]
+    df, held = documents(rows), remainder("doc_id", 10) == 0
+    monkeypatch.setattr(hmm, "BATCH_BYTES", 500)
+    vocabulary = hmm.vocabulary(df.where(~held).select(F.col("text").alias("t")))
+    encoded = saved(hmm.encode(df, vocabulary, held))
+    scored = hmm.score(encoded, vocabulary, hmm.train(encoded.where("not held_out"), passes=1))
+    is_held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    counts = Counter(w for i, t in rows if not is_held(i) for w in [*words(t), None])
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((i is None, i or 0, sum(counts[w] > 0 for w in [*words(t), None]), round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*words(t), None]), 8)) for i, t in rows)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_known"], round(r["base_score"], 8)) for r in scored.collect()) == want
+    shares = [[c for w, c in counts.items() if w is not None and w.encode() not in vocabulary.classes and hmm.shared_class(w.encode()) == hmm.OWN + k] for k in range(hmm.SHARED)]
+    assert len(vocabulary.classes) == 3 and np.allclose(vocabulary.below, [math.log10(sum(x) + 0.1 * (len(x) + 1)) for x in shares])
+    assert "decimal" not in scored._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_words_of_a_column_are_those_of_each_text():
+    rng = random.Random(5)
+    bits = [bytes([i]) for i in range(256)] + [b" ", b"\n", b"\x0b", b"\r", b"A", "É".encode(), "\u3000".encode()] * 20
+    for k in range(300):
+        texts = [None if rng.random() < 0.1 else b"".join(rng.choices(bits, k=rng.randrange(20))) for _ in range(rng.randrange(1, 7))]
+        found, sizes = word_column(pa.array(texts, pa.binary()).slice(k % 2))
+        want = [words_of(t or b"") for t in texts[k % 2 :]]
+        assert sizes.tolist() == [len(x) for x in want] and found.to_pylist() == [w for x in want for w in x]
+
+
 def test_the_head_is_full_whatever_the_ties(spark):
     words_of_one_count = spark.range(5000).select(F.concat(F.lit("w"), "id").cast("binary").alias("w"), F.lit(3).cast("long").alias("n"))
     for counts, most in ((words_of_one_count, 700), (words_of_one_count.union(spark.sql("select cast(concat('f', id) as binary), id + 100 from range(300)")), 700), (words_of_one_count, 9000)):
