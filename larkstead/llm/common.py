@@ -189,6 +189,17 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[base]
 
 
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word ``[^\\x20\\x09-\\x0D]+`` begins, where it ends) of texts that lie end to end in data."""
+    ink = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    first, last = ink.copy(), ink.copy()
+    first[1:] &= ~ink[:-1] | edge[1:-1]
+    last[:-1] &= ~ink[1:] | edge[1:-1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all words, words of each text) of texts that lie end to end in data."""
     return placed_hashes(data, offsets)[:2]
@@ -201,16 +212,9 @@ def placed_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     give each word's hash at once. Modulo 2**64 such polynomials collide by structure from 1024
     terms on (the Thue-Morse sequence), so words of more than POLYNOMIAL bytes are hashed by xxh3.
     """
+    starts, ends = word_places(data, offsets)
     if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64), np.empty(0, np.int64)
-    ink = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    first = ink.copy()
-    first[1:] &= ~ink[:-1] | edge[1:-1]
-    last = ink.copy()
-    last[:-1] &= ~ink[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64), starts
     up, down = _powers(0x9E3779B97F4A7C15 | 1, len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
@@ -234,14 +238,17 @@ def runs_of(h: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
 
 
-def text_slices(column: pa.Array, most: int = HASH_BYTES, places: bool = False) -> Iterator[tuple]:
-    """(first row, last row + 1, word hashes, words of each row, and with ``places`` the bytes and where each word begins) for runs of rows of about ``most`` bytes."""
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts end to end, where each begins and the last ends) of a text column; null is empty."""
     column = (column.fill_null("") if column.null_count else column).cast(pa.large_binary())
-    if not len(column):
-        return
     _, where, what = column.buffers()
-    offsets = np.frombuffer(where, np.int64, len(column) + 1, 8 * column.offset)
-    data = np.frombuffer(what, np.uint8) if what is not None and what.size else np.empty(0, np.uint8)
+    offsets = np.frombuffer(where, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(what, np.uint8) if what is not None and what.size else np.empty(0, np.uint8), offsets
+
+
+def text_slices(column: pa.Array, most: int = HASH_BYTES, places: bool = False) -> Iterator[tuple]:
+    """(first row, last row + 1, word hashes, words of each row, and with ``places`` the bytes and where each word begins) for runs of rows of about ``most`` bytes."""
+    data, offsets = text_bytes(column)
     for a, b in slices(np.diff(offsets).tolist(), most):
         own = data[offsets[a] : offsets[b]]
         h, counts, starts = placed_hashes(own, offsets[a : b + 1] - offsets[a])

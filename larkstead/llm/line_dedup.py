@@ -12,7 +12,8 @@ Two kinds of units are hashed by their words (``[^\\x20\\x09-\\x0D]+``, A-Z lowe
 
 Hashes of real lines and fingerprints that occur again (a bit set of them) give the positions to be
 joined. A match of fingerprints extends as far both ways as the runs of ``run`` words around it
-are equal. The earliest unit or run in order of (id, position) stays, later ones are deleted: a word
+are equal: stretches of runs around one fingerprint are compared as a whole, and run by run where
+they differ. The earliest unit or run in order of (id, position) stays, later ones are deleted: a word
 goes if a later repeat covers it; exactly that, whatever the partitioning. Texts that equal an
 earlier one go whole. With ``least`` None there are runs alone, and texts under ``run`` words stay.
 
@@ -24,23 +25,21 @@ any names; one named as the column of removed words is replaced. Hashes have 64
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import POLYNOMIAL, _powers, bit_set, bits_for, discard, fresh, in_bits, map_batches, mix, others, runs_of, saved, text_slices
+from .common import HASH_BYTES, POLYNOMIAL, _powers, bit_set, bits_for, discard, fresh, in_bits, map_batches, mix, others, runs_of, saved, slices, text_bytes, text_slices, word_places
 
 RUN, LINE = 50, 16
 #: Words of the shortest unit of real lines.
 LEAST = 5
 #: Stands for a null id.
 NO_ID = -(1 << 63)
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -116,26 +115,29 @@ def order_key(docs: DataFrame, id_column: str) -> Column:
 
 
 def _scan(keyed: DataFrame, per_slice, names: list[str]) -> DataFrame:
-    """Columns that per_slice(word hashes, words of each text, text hashes, whether a word is the first of a line) makes of the rows (t, i, s): longs, and ``i`` by places of rows."""
+    """Columns that per_slice(word hashes, words of each text, text hashes, whether a word is the first of a line) makes of the rows (t, i, s): longs, ``i`` by places of rows, and ``r`` bytes."""
 
     def f(batches):
         for batch in batches:
             own = batch.column(2).to_numpy()
             for a, b, h, counts, data, starts in text_slices(batch.column(0), places=True):
                 columns = per_slice(h, counts, own[a:b], line_firsts(data, starts, counts))
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(c + a)) if n == "i" else pa.array(c.astype(np.int64, copy=False)) for n, c in zip(names, columns, strict=True)], names=names)
+                columns = [c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64, copy=False)) for c in columns]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pc.add(c, a)) if n == "i" else c for n, c in zip(names, columns, strict=True)], names=names)
 
-    return map_batches(keyed, f, T.StructType([T.StructField(n, keyed.schema["i"].dataType if n == "i" else T.LongType()) for n in names]))
+    kinds = {"i": keyed.schema["i"].dataType, "r": T.BinaryType()}
+    return map_batches(keyed, f, T.StructType([T.StructField(n, kinds.get(n, T.LongType())) for n in names]))
 
 
 def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN, line: int = LINE, least: int | None = None) -> DataFrame:
     """(i, s, p, n): order key of the id, text hash, first word and words of each later repeat; p is -1 if the whole text is one."""
     units = run - line + 1
     keyed = docs.select(F.col(text_column).alias("t"), order_key(docs, id_column).alias("i"), F.xxhash64(text_column).alias("s"))
-    first = keyed.groupBy("s").agg(F.min("i").alias("first"), F.max("i").alias("last")).where("first < last").select(F.col("s").alias("k"), "first")
+    ids = saved(keyed.select("i", "s"))
+    first = ids.groupBy("s").agg(F.min("i").alias("first"), F.max("i").alias("last")).where("first < last").select(F.col("s").alias("k"), "first")
     copied = saved(first)
     again = bit_set(copied, "k", bits_for(copied.count()))
-    whole = keyed.select("i", "s").join(copied, F.col("s") == F.col("k")).where("i > first").select("i", "s", F.lit(-1).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
+    whole = ids.join(copied, F.col("s") == F.col("k")).where("i > first").select("i", "s", F.lit(-1).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
 
     # Fingerprints of each text, once each; with the text's hash if the text has copies (which count once), else 0, and 2 for those the text has twice.
     def prints(h, counts, s, firsts):
@@ -160,28 +162,67 @@ def marks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     bits = bit_set(common, "f", bits_for(common.count()))
     discard(common)
 
-    # Runs around repeated fingerprints. Repeats within a text are known at once: they get r = 0.
-    def runs(h, counts, s, firsts):
+    # Stretches of successive runs around one repeated fingerprint, with all their runs' hashes, and known units of lines. Repeats within a text are known at once: they get g = 0.
+    def stretches(h, counts, s, firsts):
         _, m, inside, text = windows(h, counts, run, line)
         at = np.flatnonzero(inside)
         at = at[in_bits(bits, m[at])]
-        r, n = runs_of(h, run)[at], np.full(len(at), run)
+        r, f, n, n_runs = runs_of(h, run)[at], m[at], np.full(len(at), run), len(at)
         if least:
             of_lines, starts, words = lines_of(h, firsts, text, least)
             known = in_bits(bits, of_lines)
-            r, at, n = (np.concatenate(x) for x in ((r, of_lines[known]), (at, starts[known]), (n, words[known])))
-        r = np.maximum(r, np.uint64(1)).view(np.int64)
+            r, f, at, n = (np.concatenate(x) for x in ((r, of_lines[known]), (f, of_lines[known]), (at, starts[known]), (n, words[known])))
+        if not len(at):
+            return [np.empty(0, np.int64)] * 6 + [pa.array([], pa.binary())]
         own = text[at]
         order = np.lexsort((at, r, own))
         again_ = np.zeros(len(at), bool)
         again_[order[1:]] = (r[order[1:]] == r[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+        f = np.where(again_, np.uint64(0), np.maximum(f, np.uint64(1)))
+        new = np.ones(len(at), bool)
+        before, after = slice(max(n_runs - 1, 0)), slice(1, n_runs)
+        new[after] = (at[after] != at[before] + 1) | (own[after] != own[before]) | (f[after] != f[before])
+        first = np.flatnonzero(new)
+        length = np.diff(np.append(first, len(at)))
+        f, own, again_ = f[first], own[first], again_[first]
+        # Runs of a text that are no repeats are different ones, so their sum stands for them.
+        g = np.maximum(mix(np.add.reduceat(r, first) + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), np.uint64(1))
+        held = np.zeros(len(first) + 1, np.int32)
+        np.cumsum(np.where(again_, 0, 8 * length), out=held[1:])
+        hashes = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(held), pa.py_buffer(r[~np.repeat(again_, length)])])
         starts = np.cumsum(counts) - counts
-        return np.where(again_, 0, r), own, s[own], at - starts[own], n
+        return f.view(np.int64), np.where(again_, np.uint64(0), g).view(np.int64), own, s[own], at[first] - starts[own], n[first] + length - 1, hashes
+
+    found = saved(_scan(keyed, stretches, ["f", "g", "i", "s", "p", "n", "r"]))
+    # Equal stretches are compared as one; runs by themselves only where stretches around one fingerprint differ, and there those of the earliest of equal stretches.
+    classes = saved(found.where("g <> 0").groupBy("g").agg(F.min("i").alias("e"), F.max("i").alias("l"), F.min("f").alias("f")))
+    mixed = saved(classes.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f"))
+    unlike = bit_set(mixed, "f", bits_for(mixed.count()))
+    discard(mixed)
+    earliest = classes.where("e < l").select(F.col("g").alias("q"), "e")
+    later = found.where("g <> 0").select("g", "i", "s", "p", "n").join(earliest, F.col("g") == F.col("q")).where("i > e").select("i", "s", "p", "n")
+
+    def compared(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bits(unlike, batch.column(0).to_numpy()))).select([1, 2, 3, 4, 5, 6])
 
-    rows = saved(_scan(keyed, runs, ["r", "i", "s", "p", "n"]))
-    earliest = rows.where("r <> 0").groupBy("r").agg(F.min("i").alias("e"), F.max("i").alias("l")).where("e < l").select(F.col("r").alias("q"), "e")
-    later = rows.where("r <> 0").join(earliest, F.col("r") == F.col("q")).where("i > e").select("i", "s", "p", "n")
-    return later.union(rows.where("r = 0").select("i", "s", "p", "n")).union(whole)
+    def exploded(batches):
+        for batch in batches:
+            i, s, p, n, r = batch.columns
+            length = pc.binary_length(r).to_numpy() // 8
+            row = np.repeat(np.arange(len(length)), length)
+            place = np.arange(len(row)) - (np.cumsum(length) - length)[row]
+            r = pa.array(np.frombuffer(b"".join(r.to_pylist()), np.int64))
+            p, n = pa.array(p.to_numpy()[row] + place), pa.array((n.to_numpy() - length + 1)[row])
+            yield pa.RecordBatch.from_arrays([r, i.take(pa.array(row)), s.take(pa.array(row)), p, n], names=["r", "i", "s", "p", "n"])
+
+    kind = keyed.schema["i"].dataType.simpleString()
+    apart = map_batches(found.where("g <> 0"), compared, f"g long, i {kind}, s long, p long, n long, r binary")
+    apart = apart.join(earliest, F.col("g") == F.col("q"), "left").where("e is null or i = e").select("i", "s", "p", "n", "r")
+    rows = saved(map_batches(apart, exploded, f"r long, i {kind}, s long, p long, n long"))
+    earliest = rows.groupBy("r").agg(F.min("i").alias("e"), F.max("i").alias("l")).where("e < l").select(F.col("r").alias("q"), "e")
+    later = later.union(rows.join(earliest, F.col("r") == F.col("q")).where("i > e").select("i", "s", "p", "n"))
+    return later.union(found.where("g = 0").select("i", "s", "p", "n")).union(whole)
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN, line: int = LINE, removed_column: str = "n_removed", least: int | None = None) -> DataFrame:
@@ -208,12 +249,8 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     def remove(batches):
         for batch in batches:
-            texts, removed = [], []
-            for text, starts in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                text, n = cut(text, starts, 1 if least else run) if text and starts else (text, 0)
-                texts.append(text)
-                removed.append(n)
-            columns = [*batch.columns[:at], pa.array(texts, pa.binary()).cast(pa.string()), *batch.columns[at + 1 : len(names)], pa.array(removed, pa.int64())]
+            texts, removed = cut(batch.column(at), batch.column(len(names)), 1 if least else run)
+            columns = [*batch.columns[:at], texts, *batch.columns[at + 1 : len(names)], pa.array(removed)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, removed_column])
 
     # Rows without marks stay where they are; only the others' texts are shuffled.
@@ -223,24 +260,42 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return clean.union(map_batches(joined, remove, schema))
 
 
-def cut(text: bytes, marks: list[int], shortest: int) -> tuple[bytes, int]:
-    """text without the repeats ``marks`` (2**32 * first word + words, sorted; negative for all), nor the white space before each stretch; words removed.
+def cut(column: pa.Array, marks: pa.Array, shortest: int) -> tuple[pa.Array, np.ndarray]:
+    """(texts without the repeats ``marks`` (2**32 * first word + words; negative for all), nor the white space before each; words removed).
 
-    Texts under ``shortest`` words stay.
+    Texts under ``shortest`` words, or without marks, stay.
     """
-    spans = [m.span() for m in _WORD.finditer(text)]
-    if len(spans) < shortest:
-        return text, 0
-    if marks[0] < 0:
-        return b"", len(spans)
-    starts, n = np.divmod(np.array(marks), 1 << 32)
-    gone = np.zeros(len(spans) + 1, np.int64)
-    np.add.at(gone, starts, 1)
-    np.add.at(gone, starts + n, -1)
-    gone = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(gone) > 0, [0]])))
-    out, at, removed = [], 0, 0
-    for a, b in gone.reshape(-1, 2).tolist():
-        out.append(text[at : spans[a - 1][1] if a else 0])
-        at = spans[b - 1][1]
-        removed += b - a
-    return b"".join(out) + text[at:], removed
+    data, offsets = text_bytes(column)
+    n_marks = marks.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    ends_of_marks = np.cumsum(n_marks)
+    flat, of = marks.flatten().to_numpy(), np.repeat(np.arange(len(column)), n_marks)
+    texts, sizes, removed = [], np.diff(offsets), np.zeros(len(column), np.int64)
+    for a, b in slices(sizes.tolist(), HASH_BYTES):
+        own, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        mine = slice(ends_of_marks[a] - n_marks[a], ends_of_marks[b - 1])
+        starts, ends = word_places(own, off)
+        at = np.searchsorted(starts, off)
+        n = np.diff(at)
+        text, mark = of[mine] - a, flat[mine]
+        known = n[text] >= max(shortest, 1)
+        text, mark = text[known], mark[known]
+        whole = text[mark < 0]
+        first = np.where(mark < 0, 0, mark >> 32) + at[text]
+        words = np.where(mark < 0, n[text], mark & 0xFFFFFFFF)
+        gone = np.cumsum(np.bincount(first, minlength=len(starts) + 1) - np.bincount(first + words, minlength=len(starts) + 1))[:-1] > 0
+        # With each word go the bytes from the end of the one before, or where the text begins; with the last of a whole text the rest.
+        some = n > 0
+        before = np.append(0, ends)[:-1]
+        before[at[:-1][some]] = off[:-1][some]
+        ends[at[whole + 1] - 1] = off[whole + 1]
+        turns = np.zeros(len(own) + 1, np.int8)
+        turns[before[gone]] += 1
+        turns[ends[gone]] -= 1
+        stays = np.cumsum(turns[:-1], dtype=np.int8) == 0
+        texts.append(own[stays])
+        sizes[a:b] = np.diff(np.append(0, np.cumsum(stays))[off])
+        removed[a:b] = np.diff(np.append(0, np.cumsum(gone))[at])
+    places = np.zeros(len(column) + 1, np.int32)
+    np.cumsum(sizes, out=places[1:])
+    out = pa.Array.from_buffers(pa.string(), len(column), [None, pa.py_buffer(places), pa.py_buffer(np.concatenate([*texts, np.empty(0, np.uint8)]))])
+    return pc.if_else(column.is_valid(), out, pa.scalar(None, pa.string())) if column.null_count else out, removed

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -298,6 +299,65 @@ def test_line_dedup_with_text_ids_and_any_columns(spark):
     assert got[0].asDict().keys() == {"doc_id", "text", "_i", "_s", "_k", "n_removed"}
 
 
+def test_line_dedup_compares_equal_stretches_as_one(documents, monkeypatch):
+    """A passage in many texts is no row for each of its words; nor are words that a text repeats."""
+    written = []
+    monkeypatch.setattr(line_dedup, "saved", lambda df: written.append(common.saved(df)) or written[-1])
+    passage = " ".join(f"p{j}" for j in range(1000))
+    rows = [(i, " ".join(f"a{i}_{j}" for j in range(60)) + f" {passage} " + " ".join(f"b{i}_{j}" for j in range(60))) for i in range(20)]
+    rows.append((30, " ".join("again" for _ in range(3000))))
+    got = line_dedup.dedup(documents(rows), least=5).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(0, 0)] + [(i, 1000) for i in range(1, 20)] + [(30, 2999)]
+    assert max(df.count() for df in written if "g" in df.columns or "r" in df.columns) < 20 * 100
+
+
+def test_line_dedup_where_stretches_differ(documents):
+    """Parts of a passage with other words around them, in texts that repeat themselves, in copies and in versions of one id."""
+    rng = random.Random(4)
+    passage, beat = [f"p{j}" for j in range(300)], [f"t{j}" for j in range(17)]
+    rows = []
+    for i in range(60):
+        a = rng.randrange(240)
+        part = passage[a : a + rng.randint(8, 120)]
+        own = [f"o{i}_{j}" for j in range(rng.randint(0, 40))]
+        rows.append((i, " ".join(own + part + rng.choice([[], own, beat * 3 + [f"x{i % 4}"] + beat * 2, part[::-1] * 2]))))
+    rows += [(70 + i, rows[i][1]) for i in range(0, 60, 7)] + [(80, None), (81, ""), (82, rows[3][1] + " \n")]
+    for run, line in ((50, 16), (10, 4), (5, 5)):
+        got = line_dedup.dedup(documents(rows), run=run, line=line).collect()
+        mine = sorted(((r["doc_id"], WORD.findall(r["text"] or ""), r["text"] is None) for r in got), key=str)
+        assert mine == dedup_by_force(rows, run)
+    got = line_dedup.dedup(documents([(i // 2, t) for i, t in rows if i < 2]), run=5, line=4).collect()
+    alone = [dedup_by_force([r], 5)[0][1] for r in rows[:2]]
+    assert sorted(WORD.findall(r["text"]) for r in got) == sorted(alone)
+
+
+def cut_by_force(text, marks, shortest):
+    spans = [m.span() for m in WORD.finditer(text or "")]
+    if not marks or not spans or len(spans) < shortest:
+        return text, 0
+    if min(marks) < 0:
+        return "", len(spans)
+    gone = sorted({w for m in marks for w in range(m >> 32, (m >> 32) + (m & 0xFFFFFFFF))})
+    out = text
+    for w in reversed(gone):
+        out = out[: spans[w - 1][1] if w else 0] + out[spans[w][1] :]
+    return out, len(gone)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aß漢 \n\x1f\t", max_size=25)), max_size=8), st.integers(0, 3), st.integers(1, 60), st.randoms(use_true_random=False))
+def test_cut(texts, shortest, size, rng):
+    marks = []
+    for t in texts:
+        n = len(words(t))
+        spans = [(a, rng.randint(1, n - a)) for a in (rng.randrange(n) for _ in range(rng.randint(0, 3)))] if n else []
+        marks.append(rng.choice([None, [-(1 << 32)], [-(1 << 32), 1], sorted(a << 32 | k for a, k in spans)]) if n else rng.choice([None, [-(1 << 32)]]))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "HASH_BYTES", size)
+        out, removed = line_dedup.cut(pa.array(["cut off", *texts], pa.string())[1:], pa.array([[1], *marks], pa.list_(pa.int64()))[1:], shortest)
+    assert list(zip(out.to_pylist(), removed.tolist(), strict=True)) == [cut_by_force(t, m, shortest) for t, m in zip(texts, marks, strict=True)]
+
+
 def test_line_dedup_leaves_clean_texts_alone(documents, odd_rows):
     got = line_dedup.dedup(documents([r for r in odd_rows if r[0] != 6])).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([r for r in odd_rows if r[0] != 6], key=str)
